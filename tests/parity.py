@@ -60,7 +60,7 @@ def compare(spark, sf_dir: str, name: str) -> str:
 
 if __name__ == "__main__":
     folder, names = sys.argv[1], sys.argv[2:]
-    session = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false")
+    session = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     for n in [q for q in entry.queries() if not names or any(q.startswith(x) for x in names)]:
         t = time.time()
