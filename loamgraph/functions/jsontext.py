@@ -94,9 +94,11 @@ def parse(text: str | None) -> tuple[bool, Any]:
 
 
 def dump(value: Any) -> str | None:
-    """Text of a value: a string as it is, a number as written, null as None, the rest as JSON."""
-    if value is None or isinstance(value, str):
-        return value
+    """Text of a value: a string as it is, a number as written, null as None, the rest as JSON.  Half surrogates become question marks."""
+    if value is None:
+        return None
+    if isinstance(value, str):
+        return clean(value)
     if isinstance(value, bool):
         return "true" if value else "false"
     out: list[str] = []
@@ -119,7 +121,12 @@ def dump(value: Any) -> str | None:
             todo.extend(reversed([*parts, _Raw("]")]))
         else:
             out.append("null" if v is None else "true" if v else "false")
-    return "".join(out)
+    return clean("".join(out))
+
+
+def clean(text: str) -> str:
+    """Text that UTF-8 can hold."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace").replace("\ufffd", "?") if any("\ud800" <= c <= "\udfff" for c in text) else text
 
 
 class _Raw(str):

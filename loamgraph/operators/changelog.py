@@ -11,9 +11,10 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loamgraph.operators import ordered
 from loamgraph.session import pick
 
 LOG = ("k", "seq", "op", "v")
@@ -67,9 +68,9 @@ def scan(log: DataFrame, *, lo: Any = None, hi: Any = None, prefix: Any = None,
 
 
 def history(log: DataFrame) -> DataFrame:
-    """(k, seq, op, v, version): every write, 1 being the newest of its key."""
-    w = Window.partitionBy("k").orderBy(F.desc("seq"), F.desc("op"), F.desc("v"))
-    return pick(log, *LOG).where("k IS NOT NULL").withColumn("version", F.row_number().over(w))
+    """(k, seq, op, v, version): every write, 1 being the newest of its key.  A key with very many writes is ranked in blocks of seq."""
+    rows = pick(log, *LOG).where("k IS NOT NULL")
+    return ordered.ranked(rows, ["k"], "seq", "version", F.desc("op"), F.desc("v"), descending=True)
 
 
 def merge_runs(*runs: DataFrame) -> DataFrame:

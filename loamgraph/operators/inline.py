@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.functions.jsontext import dump, parse
+from loamgraph.functions.jsontext import clean, dump, parse
 from loamgraph.session import pick, stored
 
 ROOT = "record"
@@ -28,11 +28,15 @@ ITEM = "item"
 
 @dataclass(frozen=True)
 class SchemaGraph:
-    """children: (parent, child) -> repeated; attributes: (element, name); lists: (element, name) of repeated scalars."""
+    """children: (parent, child) -> repeated; attributes: (element, name); lists: (element, name) of repeated scalars.
+
+    ``repeatable``: elements the format allows to repeat, also if they do not in these records.
+    """
 
     children: dict[tuple[str, str], bool]
     attributes: frozenset[tuple[str, str]]
     lists: frozenset[tuple[str, str]]
+    repeatable: frozenset[str] = frozenset()
 
     def parents(self, child: str) -> set[str]:
         return {p for p, c in self.children if c == child}
@@ -52,7 +56,7 @@ class SchemaGraph:
     def tables(self) -> dict[str, tuple[str, ...]]:
         """Element -> the elements on the way from its table's element to it; elements with a table have ()."""
         elements = {c for _, c in self.children}
-        own = {ROOT} | {e for e in elements if len(self.parents(e)) > 1 or self.recursive(e) or any(r for (_, c), r in self.children.items() if c == e)}
+        own = {ROOT} | {e for e in elements if e in self.repeatable or len(self.parents(e)) > 1 or self.recursive(e) or any(r for (_, c), r in self.children.items() if c == e)}
         way: dict[str, tuple[str, ...]] = {e: () for e in own}
 
         def find(e: str) -> tuple[str, ...]:
@@ -85,7 +89,8 @@ class SchemaGraph:
 
 def _split(o: dict[str, Any], opaque: frozenset[str]) -> Iterator[tuple[str, str, Any]]:
     """('a', name, value) for attributes, ('o', name, object, or 'oo' one of several), ('l', name, scalars)."""
-    for name, v in o.items():
+    for raw, v in o.items():
+        name = clean(raw)
         if name in opaque or not isinstance(v, (dict, list)):
             yield "a", name, v
         elif isinstance(v, dict):
@@ -117,7 +122,7 @@ def _analyse(opaque: frozenset[str]):
     return run
 
 
-def schema_graph(records: DataFrame, *, opaque: tuple[str, ...] = ("value",), most: int = 10_000) -> SchemaGraph:
+def schema_graph(records: DataFrame, *, opaque: tuple[str, ...] = ("value",), repeatable: tuple[str, ...] = (), most: int = 10_000) -> SchemaGraph:
     """The schema graph of all records.
 
     ``opaque`` names are attributes whatever they hold.  Names become tables and columns, so
@@ -131,7 +136,7 @@ def schema_graph(records: DataFrame, *, opaque: tuple[str, ...] = ("value",), mo
     for r in found:
         if r.what in ("o", "oo"):
             children[r.element, r.name] |= r.what == "oo"
-    return SchemaGraph(dict(children), frozenset((r.element, r.name) for r in found if r.what == "a"), frozenset((r.element, r.name) for r in found if r.what == "l"))
+    return SchemaGraph(dict(children), frozenset((r.element, r.name) for r in found if r.what == "a"), frozenset((r.element, r.name) for r in found if r.what == "l"), frozenset(repeatable))
 
 
 ROWS = "tbl string, record_id bigint, row_id string, parent_tbl string, parent_row string, n int, vals map<string,string>"
@@ -194,12 +199,12 @@ class FlatTables:
     separately.  Null and empty arrays or objects that are absent give no rows.
     """
 
-    def __init__(self, records: DataFrame, *, opaque: tuple[str, ...] = ("value",)):
+    def __init__(self, records: DataFrame, *, opaque: tuple[str, ...] = ("value",), repeatable: tuple[str, ...] = ()):
         rows = pick(records, "record_id", "payload").where("payload IS NOT NULL")
         # The hash of the payload tells two versions of a record apart.  Equal rows are dropped by (id, hash, text).
         rows = rows.distinct().withColumn("doc", F.concat_ws(":", F.coalesce(F.col("record_id").cast("string"), F.lit("?")), F.hex(F.xxhash64("payload")), F.hex(F.crc32(F.col("payload").cast("binary")))))
         rows = stored(rows, "records")
-        self.graph = schema_graph(rows, opaque=opaque)
+        self.graph = schema_graph(rows, opaque=opaque, repeatable=repeatable)
         self.columns = self.graph.columns()
         self.rows = stored(rows.select("record_id", "doc", "payload").mapInPandas(_shred(self.graph, frozenset(opaque)), ROWS), "rows", "tbl")
 
@@ -210,8 +215,17 @@ class FlatTables:
         return rows.select("record_id", "row_id", "parent_tbl", "parent_row", "n", *(F.col("vals").getItem(c).alias(c) for c in wanted))
 
 
+#: Elements of nested graphs that always get a table.
+GRAPH = ("graph", "node", "edge", "data", "port", "key")
+
+
+def graph_tables(records: DataFrame) -> FlatTables:
+    """The flat tables of records that hold graphs."""
+    return FlatTables(records, repeatable=GRAPH)
+
+
 def graph_elements(flat: FlatTables) -> DataFrame:
-    """(record_id, elem_id, parent_id, key) of the nodes and edges of nested graphs.
+    """(record_id, elem_id, parent_id, key) of the nodes and edges of nested graphs, from ``graph_tables``.
 
     One distinct row for each node or edge and each key among its data entries, '' without a
     key.  parent_id is the node whose graph directly holds the element, '' for the outermost.

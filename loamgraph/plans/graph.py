@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions import codec
 from loamgraph.functions.text import sql_is_int, sql_strip
-from loamgraph.operators import hotkeys, traverse
+from loamgraph.operators import hotkeys, ordered, traverse
 from loamgraph.operators.graph import PropertyGraph
 from loamgraph.session import load
 from loamgraph.sources.importers import table_graph
 
 
 def v_scan(s, d):
-    """Vertices with their place in key order within the first two digits of the id."""
-    rows = table_graph(s, d).vertices.select("id", F.col("id").cast("string").alias("key"))
-    w = Window.partitionBy(F.substring("key", 1, 2)).orderBy("key")
-    return rows.withColumn("place", F.row_number().over(w).cast("bigint"))
+    """Vertices with their place in the order of their keys, that is, of the ids as text."""
+    return ordered.numbered(table_graph(s, d).vertices.select("id", F.col("id").cast("string").alias("key")), "key")
 
 
 def e_scan(s, d):
@@ -69,7 +67,7 @@ def delta_blocks(s, d):
 
 
 def _deltas(s, d) -> DataFrame:
-    return load(s, d, "lineitem").select(F.col("l_suppkey").alias("v"), F.col("l_orderkey").alias("x")).distinct().withColumn("delta", codec.delta_rows("x", "v"))
+    return ordered.differences(load(s, d, "lineitem").select(F.col("l_suppkey").alias("v"), F.col("l_orderkey").alias("x")).distinct(), ["v"], "x", "delta")
 
 
 def delta_encode(s, d):
@@ -77,7 +75,7 @@ def delta_encode(s, d):
 
 
 def delta_decode(s, d):
-    return _deltas(s, d).withColumn("decoded", codec.running_rows("delta", "x", "v")).select("v", "delta", "decoded")
+    return ordered.running(_deltas(s, d), ["v"], "x", "delta", "decoded").select("v", "delta", "decoded")
 
 
 def degree(s, d):
@@ -188,7 +186,7 @@ def _nb(sql: str, where: str = "true") -> str:
 
 
 ORACLES = {
-    "v_scan": f"WITH {_G} SELECT id, id::VARCHAR AS key, row_number() OVER (PARTITION BY left(id::VARCHAR, 2) ORDER BY id::VARCHAR) AS place FROM v",
+    "v_scan": f"WITH {_G} SELECT id, id::VARCHAR AS key, row_number() OVER (ORDER BY id::VARCHAR) AS place FROM v",
     "e_scan": f"WITH {_G} SELECT * FROM e ORDER BY id::VARCHAR",
     "v_filter_prop": f"WITH {_G} SELECT id FROM v WHERE id IN (SELECT id FROM p WHERE elem = 'V' AND key = 'lang' AND val = 'en')",
     "e_filter_prop": f"WITH {_G} SELECT * FROM e WHERE id IN (SELECT id FROM p WHERE elem = 'E' AND key = 'hops' AND val = '3')",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import codec
 from loamgraph.operators import changelog as log
+from loamgraph.operators import ordered
 from loamgraph.session import load
 from loamgraph.streaming.replay import throughput
 
@@ -73,9 +74,8 @@ def kv_reverse_scan(s, d):
 
 
 def kv_full_scan(s, d):
-    """All live keys in byte order with the place of each within its first three bytes."""
-    rows = log.snapshot(orders_log(s, d)).withColumn("lead", F.substring("k", 1, 3))
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("lead").orderBy("k")).cast("bigint"))
+    """All live keys with their place in byte order."""
+    return ordered.numbered(log.snapshot(orders_log(s, d)), "k")
 
 
 def kv_binary_snapshot(s, d):
@@ -121,13 +121,13 @@ def kv_new_keys(s, d):
 
 
 def latency_percentiles(s, d):
-    """Order statistics of value per event type: the value at place floor(n q) of the sorted values.
+    """Order statistics of value per event type: the value at place floor(n q) of the sorted values, exactly.
 
-    The counts per distinct value are summed up by a window over values, not over rows.
+    Equal values are counted together, and the counts summed up in blocks of the value.
     """
     e = load(s, d, "events").where("value IS NOT NULL").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("event_type")
-    at = e.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
+    n = e.groupBy("event_type").agg(F.sum("c").alias("n"))
+    at = ordered.running(e, ["event_type"], "value", "c", "upto").join(n, "event_type")
     picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1), F.col("value"))).alias(name) for q, name in ((0.99, "p99"), (0.999, "p999"), (0.9999, "p9999"))]
     return at.groupBy("event_type").agg(*picks, F.max("value").alias("max"), F.max("n").alias("n"))
 
@@ -174,14 +174,14 @@ ORACLES = {
     "kv_snapshot": f"WITH {_TOP} SELECT k, v FROM top WHERE op = 'ADD'",
     "kv_get": f"WITH {_TOP} SELECT k, v FROM top WHERE op = 'ADD' AND k = 7",
     "kv_multi_get": f"WITH {_TOP} SELECT c_custkey AS k, op IS NOT NULL AS found, v FROM customer LEFT JOIN (FROM top WHERE op = 'ADD') ON k = c_custkey",
-    "kv_version_history": f"WITH {_LOG} SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC)::INT AS version FROM l",
+    "kv_version_history": f"WITH {_LOG} SELECT *, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS version FROM l",
     "kv_tombstones": f"WITH {_TOP} SELECT k, seq FROM top WHERE op = 'DEL'",
     "kv_merge_runs": f"WITH {_TOP} SELECT k, seq, v FROM top WHERE op = 'ADD'",
     "kv_range_scan": f"WITH {_ORDERS} SELECT k, v FROM o WHERE k >= 'o/1' AND k <= 'o/3' ORDER BY k",
     "kv_prefix_scan": f"WITH {_ORDERS} SELECT k, v FROM o WHERE starts_with(k, 'o/12') ORDER BY k",
     "kv_seek_limit": f"WITH {_ORDERS} SELECT k, v FROM o WHERE k >= 'o/5' ORDER BY k LIMIT 100",
     "kv_reverse_scan": f"WITH {_ORDERS} SELECT k, v FROM o WHERE k <= 'o/5' ORDER BY k DESC LIMIT 100",
-    "kv_full_scan": f"WITH {_ORDERS} SELECT k, v, left(k, 3) AS lead, row_number() OVER (PARTITION BY left(k, 3) ORDER BY k) AS place FROM o",
+    "kv_full_scan": f"WITH {_ORDERS} SELECT k, v, row_number() OVER (ORDER BY k) AS place FROM o",
     "kv_binary_snapshot": """SELECT hex(key) AS k, v.v AS v FROM (SELECT key, arg_max(op, seq) AS op, arg_max(struct_pack(v := val), seq) AS v FROM sst_entries WHERE key IS NOT NULL GROUP BY key) WHERE op = 'ADD'""",
     "kv_run_stats": f"WITH {_STATS} SELECT * REPLACE (hex(smallest) AS smallest, hex(largest) AS largest) FROM st",
     "kv_range_overlap": f"WITH {_STATS} SELECT a.file_num AS left_run, b.file_num AS right_run FROM st a JOIN st b ON a.file_num < b.file_num AND a.smallest <= b.largest AND b.smallest <= a.largest",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.text import sql_is_float, sql_is_int, sql_strip
 from loamgraph.operators import hotkeys, seen
-from loamgraph.operators.inline import FlatTables, graph_elements
+from loamgraph.operators.inline import graph_elements, graph_tables
 from loamgraph.operators.orphans import References
 from loamgraph.operators.widen import WideTables
 from loamgraph.session import load
@@ -74,12 +74,12 @@ def p4_edge_lists(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    return graph_elements(FlatTables(load(s, d, "raw_records")))
+    return graph_elements(graph_tables(load(s, d, "raw_records")))
 
 
 def _p5_table(name: str, *columns: str):
     def run(s: SparkSession, d: str) -> DataFrame:
-        return FlatTables(load(s, d, "raw_records")).table(name, *columns)
+        return graph_tables(load(s, d, "raw_records")).table(name, *columns)
 
     return run
 

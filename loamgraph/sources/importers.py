@@ -64,7 +64,8 @@ def edge_list(spark: SparkSession, path: str, *, label: str = "link") -> Propert
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """(id) of every whole number in text files, white space between; other words are left out."""
-    return spark.read.text(path).select(to_int(F.explode(F.split("value", r"\s+"))).alias("id")).where("id IS NOT NULL")
+    words = spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("word"))
+    return words.select(to_int(F.col("word")).alias("id")).where("id IS NOT NULL")
 
 
 def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
