@@ -15,7 +15,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgraph.session import pick
+from loamgraph.session import pick, stored
 
 
 def entries(adjacency: DataFrame) -> DataFrame:
@@ -65,6 +65,6 @@ def hot(adjacency: DataFrame, *, share: float = 0.02) -> DataFrame:
 
     Null vertices count in the total and are never named.
     """
-    by_vertex = degrees(adjacency)
+    by_vertex = stored(degrees(adjacency), "degrees")  # one row per vertex, read twice
     totals = by_vertex.groupBy("key").agg(F.sum("degree").alias("total"))
     return by_vertex.where("vertex_id IS NOT NULL").join(totals, "key").where(F.col("degree") >= F.col("total") * F.lit(Decimal(str(share))))
