@@ -108,12 +108,13 @@ class References:
     def orphans(self) -> DataFrame:
         """(edge_id, side, ts) of references without a parent at their time, each once."""
         doubt = stored(self.in_doubt(), "doubt")
-        # A key in doubt may have a third of all references: both joins spread each key over SALT tasks.
+        # A key in doubt may have a third of all references: both joins spread each key over SALT tasks.  They are
+        # merge joins by hint, since the size of what is repeated SALT times is not known to the planner.
         salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
         salted = self.refs.withColumn("salt", F.pmod(F.xxhash64("edge_id"), F.lit(SALT)).cast("int"))
-        refs = salted.alias("a").join(doubt.withColumn("salt", salts).alias("d"), F.expr("a.side = d.side AND a.key = d.key AND a.salt = d.salt AND a.period <=> d.period"), "left_semi")
+        refs = salted.alias("a").join(doubt.withColumn("salt", salts).hint("merge").alias("d"), F.expr("a.side = d.side AND a.key = d.key AND a.salt = d.salt AND a.period <=> d.period"), "left_semi")
         spans = self.lifetimes.join(doubt.select(F.col("key").alias("id")).distinct(), "id", "left_semi")
-        spans = spans.withColumn("salt", salts)
+        spans = spans.withColumn("salt", salts).hint("merge")
         a, s = refs.alias("a"), spans.alias("s")
         lost = a.join(
             s,
