@@ -52,6 +52,26 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Folders of tables written by this process.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables written so far; no result that is still to be read may rest on them."""
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_end() -> None:
+    """When the process ends nobody can read its results any more; folders on other file systems are left to ``release``."""
+    for home in _written:
+        if re.match(r"file:|/", home):
+            shutil.rmtree(re.sub(r"^file:/*", "/", home), ignore_errors=True)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
@@ -59,7 +79,9 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     The schema is kept as given, so an empty result reads back as an empty table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}/{name}"
+    home = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}"
+    path = f"{home}/{name}"
+    _written.append(home)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -96,6 +97,20 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+def test_stored_tables_can_be_released(spark, tmp_path):
+    from loamgraph import session
+
+    kept = session._written[:]
+    session._written.clear()
+    df = session.stored(spark.range(3).selectExpr("id", "id % 2 AS p"), "t", "p")
+    folder = session._written[0].replace("file://", "")
+    assert df.count() == 3 and os.path.isdir(folder)
+    session.release(spark)
+    assert not os.path.exists(folder) and not session._written
+    session._written.extend(kept)
+    assert session.stored(spark.range(0), "t").count() == 0
+
+
 # ---- order
 def test_ordered(spark):
     rng = random.Random(1)
