@@ -7,11 +7,11 @@ values: a change gives a new graph, and nothing runs before a result is asked fo
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.operators import traverse
@@ -36,11 +36,17 @@ class PropertyGraph:
     vertices: DataFrame
     edges: DataFrame
     props: DataFrame
+    #: key -> (applied when a value is set, applied when it is read), both on columns.
+    hooks: Mapping[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = field(default_factory=dict)
 
     @classmethod
     def new(cls, spark) -> PropertyGraph:
         return cls(empty(spark, "id bigint"), empty(spark, "id bigint, src bigint, dst bigint, label string"), empty(spark, "elem string, id bigint, key string, val string"))
 
+    def with_hook(self, key: str, save: Callable[[Column], Column], load: Callable[[Column], Column]) -> PropertyGraph:
+        """Values of this key go through ``save`` in set_properties and through ``load`` in property."""
+        return replace(self, hooks={**self.hooks, key: (save, load)})
+
     # elements
     def v(self, id_: Any) -> DataFrame:
         """The vertex, or no row."""
@@ -86,7 +92,7 @@ class PropertyGraph:
             edges = edges.join(gone.withColumnRenamed("id", end), end, "left_anti").select(*EDGE)
         lost = self.edges.select("id").join(edges.select("id"), "id", "left_anti")
         own = gone.select(F.lit("V").alias("elem"), "id").unionByName(lost.select(F.lit("E").alias("elem"), "id"))
-        return PropertyGraph(left, edges, self.props.join(own, ["elem", "id"], "left_anti"))
+        return replace(self, vertices=left, edges=edges, props=self.props.join(own, ["elem", "id"], "left_anti"))
 
     def remove_edges(self, ids: DataFrame) -> PropertyGraph:
         return replace(self, edges=self.edges.join(pick(ids, "id"), "id", "left_anti").select(*EDGE))
@@ -94,6 +100,8 @@ class PropertyGraph:
     def set_properties(self, rows: DataFrame) -> PropertyGraph:
         """props(elem, id, key, val) written over what is there; a null val removes."""
         new = pick(rows, *PROP).groupBy("elem", "id", "key").agg(F.max("val").alias("val"))
+        for key, (save, _) in self.hooks.items():
+            new = new.withColumn("val", F.when(F.col("key") == key, save(F.col("val"))).otherwise(F.col("val")))
         old = self.props.join(new.select("elem", "id", "key"), ["elem", "id", "key"], "left_anti")
         return replace(self, props=old.select(*PROP).unionByName(new.where("val IS NOT NULL").select(*PROP)))
 
@@ -103,7 +111,7 @@ class PropertyGraph:
     # properties
     def property(self, elem: str, key: str, default: Any = None) -> DataFrame:
         """(id, val) for every element of the kind; the default where the property is missing."""
-        own = self.props.where((F.col("elem") == elem) & (F.col("key") == key)).select("id", "val")
+        own = self.props.where((F.col("elem") == elem) & (F.col("key") == key)).select("id", self.hooks[key][1](F.col("val")).alias("val") if key in self.hooks else "val")
         return self._table(elem).select("id").join(own, "id", "left").select("id", F.coalesce("val", F.lit(default)).alias("val"))
 
     def property_keys(self, elem: str, *, adjacency: bool = False) -> DataFrame:

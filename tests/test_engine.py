@@ -167,6 +167,9 @@ def test_changes(g, spark):
     assert clean.edges.where("src = 1 OR dst = 1").count() == 0 and clean.props.where("elem = 'V' AND id = 1").count() == 0 and clean.props.where("elem = 'E' AND id = 8").count() == 0
     p = h.set_properties(spark.createDataFrame([("V", 1, "name", "new"), ("V", 2, "name", None), ("V", 50, "name", "")], "elem string, id bigint, key string, val string"))
     assert {r.id: r.val for r in p.property("V", "name").collect()} | {3: 0, 4: 0, 5: 0, 6: 0} == {1: "new", 2: None, 50: "", 3: 0, 4: 0, 5: 0, 6: 0}
+    hooked = h.with_hook("tags", lambda c: F.lower(c), lambda c: F.array_join(F.array_sort(F.split(c, " ")), " "))
+    hooked = hooked.set_properties(spark.createDataFrame([("V", 1, "tags", "B A"), ("V", 1, "name", "X")], "elem string, id bigint, key string, val string"))
+    assert hooked.props.where("key = 'tags'").first().val == "b a" and hooked.property("V", "tags").where("id = 1").first().val == "a b" and hooked.property("V", "name").where("id = 1").first().val == "X"
     assert h.remove_edges(spark.createDataFrame([(20,)], "id bigint")).counts().where("elem = 'E'").first().n == 7
     assert PropertyGraph.new(spark).degrees().count() == 0
 
