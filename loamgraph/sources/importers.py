@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +14,62 @@ from loamgraph.operators.widen import TYPES
 from loamgraph.session import load, stored
 
 _DATA = "data array<struct<_VALUE:string,_key:string>>"
+_ELEMENTS = {"node": f"_id string, {_DATA}", "edge": f"_id string, _source string, _target string, _label string, {_DATA}"}
+
+
+def _nested(depth: int) -> str:
+    """Type of the graphs in an element, read ``depth`` levels deep; what lies deeper is text."""
+    if not depth:
+        return "graph array<string>"
+    return "graph array<struct<" + ", ".join(f"{tag} array<struct<{ddl}, {_nested(depth - 1)}>>" for tag, ddl in _ELEMENTS.items()) + ">>"
+
+
+def _inside(graphs: Any) -> Iterator[tuple[str, Any]]:
+    """(tag, element) of all elements in these graphs, at any level; of graphs that are still text ('text', None)."""
+    todo = list(graphs or ())
+    while todo:
+        g = todo.pop()
+        if isinstance(g, str):
+            yield "text", None
+        elif g is not None:
+            for tag in _ELEMENTS:
+                for x in g[tag] or ():
+                    yield tag, x
+                    todo.extend(x["graph"] or ())
+
+
+def _elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """The nodes or edges, those in graphs that are nested in others too.
+
+    The source gives the outermost element as one row.  How deep its schema has to reach is found
+    by reading once for each level that there is.
+    """
+    own = [c.split()[0] for c in _ELEMENTS[tag].split(", ")]
+    deeper = F.udf(lambda graphs: any(t == "text" for t, _ in _inside(graphs)), "boolean")
+    inner = F.udf(lambda graphs: [tuple(x[c] for c in own) for t, x in _inside(graphs) if t == tag], f"array<struct<{_ELEMENTS[tag]}>>")
+    depth = 0
+    while True:
+        rows = spark.read.format("xml").option("rowTag", tag).schema(f"{_ELEMENTS[tag]}, {_nested(depth)}").load(path)
+        nested = rows.where("graph IS NOT NULL")
+        if (nested if not depth else nested.where(deeper("graph"))).isEmpty():
+            break
+        depth += 1
+    if not depth:
+        return rows.select(*own)
+    return rows.select(F.explode(F.concat(F.array(F.struct(*own)), inner("graph"))).alias("e")).select("e.*")
 
 
 def graphml(spark: SparkSession, path: str) -> PropertyGraph:
     """A graph from GraphML files.
 
     Property values are kept as text in canonical form of their declared type (int, float,
-    string); a value that does not suit its type is dropped.  Elements of a graph nested in a
-    node are read too.  Node and edge ids must be whole numbers; others are an error of their row
-    and left out.
+    string); a value that does not suit its type is dropped.  Elements of graphs nested in a
+    node or an edge are read too, at any depth; an outermost element with all that it holds is
+    one row.  Node and edge ids must be whole numbers; others are an error of their row and left out.
     """
     read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).schema(ddl).load(path)
-    nodes = read("node", f"_id string, {_DATA}").where("_id IS NOT NULL")
-    edges = read("edge", f"_id string, _source string, _target string, _label string, {_DATA}")
+    nodes = _elements(spark, path, "node").where("_id IS NOT NULL")
+    edges = _elements(spark, path, "edge")
     keys = read("key", "_id string, _for string, `_attr.name` string, `_attr.type` string").where("_id IS NOT NULL")
     types = keys.select(F.col("_id").alias("key"), F.col("`_attr.name`").alias("name"), F.coalesce("`_attr.type`", F.lit("string")).alias("type")).dropDuplicates(["key"])
     ids = lambda df, elem: df.select(F.lit(elem).alias("elem"), to_int(F.col("_id")).alias("id"), F.explode("data").alias("d")).where("id IS NOT NULL")

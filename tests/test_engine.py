@@ -186,6 +186,19 @@ def test_importers(spark, tmp_path, graphml):
     assert w.select("op").distinct().count() == 3 and changelog.snapshot(w.where("op <> 'GET'")).count() <= 50 and {len(r.v) for r in w.collect()} == {100}
 
 
+def test_nested_graphml(spark, tmp_path):
+    deep = '<node id="4"><data key="name">a &lt; b &amp; c</data><graph><node id="5"><graph><node id="6"><data key="age">7</data></node></graph></node></graph></node>'
+    inner = f'<graph><node id="2"><data key="name">in</data></node>{deep}<edge id="7" source="1" target="2" label="x"/></graph>'
+    outer = '<edge id="8" source="1" target="3"><graph><node id="9"/><edge id="10" source="9" target="2" label="y &amp; z"><data key="weight">0.5</data></edge></graph></edge>'
+    keys = '<key id="age" for="node" attr.name="age" attr.type="int"/><key id="weight" for="edge" attr.name="weight" attr.type="float"/>'
+    (tmp_path / "n.graphml").write_text(f'<?xml version="1.0"?><graphml>{keys}<graph id="G"><node id="1"><data key="name">out</data>{inner}</node><node id="3"/>{outer}</graph></graphml>')
+    g = importers.graphml(spark, str(tmp_path / "n.graphml"))
+    assert ids(g.vertices, "id", column="id") == [1, 2, 3, 4, 5, 6, 9]
+    assert [tuple(r) for r in g.edges.orderBy("id").collect()] == [(7, 1, 2, "x"), (8, 1, 3, None), (10, 9, 2, "y & z")]
+    assert sorted(map(tuple, g.props.collect())) == [("E", 10, "weight", "0.5"), ("V", 1, "name", "out"), ("V", 2, "name", "in"), ("V", 4, "name", "a < b & c"), ("V", 6, "age", "7")]
+    assert g.dangling().count() == 0
+
+
 # ---- codecs
 VALUES = st.recursive(st.none() | st.booleans() | st.integers(-(1 << 63), (1 << 64) - 1) | st.floats(allow_nan=False) | st.text(max_size=40), lambda x: st.lists(x, max_size=20) | st.dictionaries(st.text(max_size=4), x, max_size=18), max_leaves=20)
 
