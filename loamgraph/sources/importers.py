@@ -65,16 +65,22 @@ def graphml(spark: SparkSession, path: str) -> PropertyGraph:
     Property values are kept as text in canonical form of their declared type (int, float,
     string); a value that does not suit its type is dropped.  Elements of graphs nested in a
     node or an edge are read too, at any depth; an outermost element with all that it holds is
-    one row.  Node and edge ids must be whole numbers; others are an error of their row and left out.
+    one row.  Nodes and edges have their own declarations; one for a kind goes before one for all,
+    and among repeats the last in the order of the files counts.  Node and edge ids must be whole
+    numbers; others are an error of their row and left out.
     """
     read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).schema(ddl).load(path)
     nodes = _elements(spark, path, "node").where("_id IS NOT NULL")
     edges = _elements(spark, path, "edge")
     keys = read("key", "_id string, _for string, `_attr.name` string, `_attr.type` string").where("_id IS NOT NULL")
-    types = keys.select(F.col("_id").alias("key"), F.col("`_attr.name`").alias("name"), F.coalesce("`_attr.type`", F.lit("string")).alias("type")).dropDuplicates(["key"])
+    # A key may be declared once for nodes and once for edges; without a kind it is declared for all.
+    kinds = F.when(F.col("_for") == "node", F.array(F.lit("V"))).when(F.col("_for") == "edge", F.array(F.lit("E"))).when(F.coalesce("_for", F.lit("all")) == "all", F.array(F.lit("V"), F.lit("E")))
+    place = F.struct(F.coalesce(F.col("_for") != "all", F.lit(False)), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    types = keys.select(F.col("_id").alias("key"), F.struct(F.coalesce("`_attr.name`", "_id").alias("name"), F.coalesce("`_attr.type`", F.lit("string")).alias("type")).alias("t"), place.alias("place"), F.explode(kinds).alias("elem"))
+    types = types.groupBy("elem", "key").agg(F.max_by("t", "place").alias("t")).select("elem", "key", "t.name", "t.type")
     ids = lambda df, elem: df.select(F.lit(elem).alias("elem"), to_int(F.col("_id")).alias("id"), F.explode("data").alias("d")).where("id IS NOT NULL")
     cells = ids(nodes, "V").unionByName(ids(edges, "E")).select("elem", "id", F.col("d._key").alias("key"), F.col("d._VALUE").alias("val"))
-    typed = cells.join(types, "key", "left")
+    typed = cells.join(types, ["elem", "key"], "left")
     val = F.when(F.col("type") == "int", to_int(F.col("val")).cast("string")).when(F.col("type") == "float", to_float(F.col("val")).cast("string")).otherwise(F.coalesce("val", F.lit("")))
     props = typed.select("elem", "id", F.coalesce("name", "key").alias("key"), val.alias("val")).where("val IS NOT NULL").dropDuplicates(["elem", "id", "key"])
     links = edges.select(*(to_int(F.col(c)).alias(n) for c, n in (("_id", "id"), ("_source", "src"), ("_target", "dst"))), F.col("_label").alias("label")).where("id IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL")

@@ -199,6 +199,19 @@ def test_nested_graphml(spark, tmp_path):
     assert g.dangling().count() == 0
 
 
+def test_graphml_declarations_by_kind(spark, tmp_path):
+    key = lambda i, kind, name, type_: f'<key id="{i}" {kind} attr.name="{name}" attr.type="{type_}"/>'
+    keys = key("w", 'for="node"', "weight", "int") + key("w", 'for="edge"', "share", "float") + key("a", 'for="all"', "any", "int") + key("b", "", "both", "float") + key("o", 'for="edge"', "only", "int")
+    keys += key("r", 'for="node"', "first", "int") + key("r", 'for="node"', "last", "string") + key("r", 'for="all"', "other", "int")
+    data = lambda *pairs: "".join(f'<data key="{k}">{v}</data>' for k, v in pairs)
+    node = f'<node id="1">{data(("w", 3), ("a", 4), ("b", 0.5), ("o", "text"), ("r", "x"))}</node>'
+    edge = f'<edge id="2" source="1" target="1">{data(("w", 0.5), ("a", 5), ("b", 1.5), ("o", 6), ("r", 7))}</edge>'
+    for name, text in (("1", keys), ("2", "".join(reversed([f"<key {k}" for k in keys.split("<key ")[1:6]])) + keys[keys.index('<key id="r"') :])):  # the order of other declarations does not matter
+        (tmp_path / name).write_text(f'<?xml version="1.0"?><graphml>{text}<graph>{node}{edge}</graph></graphml>')
+        got = {(r.elem, r.key): r.val for r in importers.graphml(spark, str(tmp_path / name)).props.collect()}
+        assert got == {("V", "weight"): "3", ("V", "any"): "4", ("V", "both"): "0.5", ("V", "o"): "text", ("V", "last"): "x", ("E", "share"): "0.5", ("E", "any"): "5", ("E", "both"): "1.5", ("E", "only"): "6", ("E", "other"): "7"}
+
+
 # ---- codecs
 VALUES = st.recursive(st.none() | st.booleans() | st.integers(-(1 << 63), (1 << 64) - 1) | st.floats(allow_nan=False) | st.text(max_size=40), lambda x: st.lists(x, max_size=20) | st.dictionaries(st.text(max_size=4), x, max_size=18), max_leaves=20)
 
