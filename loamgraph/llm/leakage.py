@@ -4,8 +4,12 @@ Texts are compared in windows of as many words as a passage must have.  A window
 fingerprint is a 64-bit SimHash of its five-word shingles.  The windows of the items form a
 multi-index: the fingerprint is split into radius + 1 blocks, and two fingerprints
 within the radius agree in at least one block, so looking up each block finds them all.
-Windows found are compared exactly: by the weighted similarity of their shingles, and,
-where a passage must be verbatim, word by word.
+Windows found are compared word by word: equal windows have distance 0, so no verbatim passage is missed.
+
+Windows that are alike but not equal have fingerprints too far apart for that.  They are
+found by shared shingles: whatever is similar to a window shares one of its heaviest shingles
+that together weigh more than the part that may differ (at most two), and pairs that
+share one are compared by the weighted similarity of all their shingles.
 
 The documents are read once and never shuffled; what leaves a task are pairs found.  The
 items' index is sent to the tasks in blocks of a bounded number of windows, one pass each.
@@ -29,6 +33,8 @@ from loamgraph.session import pick, stored
 WINDOW, SHINGLE, RADIUS = 13, 5, 2
 #: Windows of items in one block of the index, each of about 100 bytes.
 BLOCK = 400_000
+#: What rounding may take from a similarity, and pairs of windows compared at once.
+EPS, PAIRS = 1e-9, 20_000
 _WORD = re.compile(r"[^\W_]+")
 _ASCII = {i: (chr(i).lower() if chr(i).isalnum() else " ") for i in range(128)}
 _KEEP = {"L", "N"}
@@ -99,7 +105,8 @@ def simhash(shingle: np.ndarray, per: int) -> np.ndarray:
 class ItemIndex:
     """Multi-index over the windows of some items."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, shingle: int, radius: int):
+    def __init__(self, items: list[tuple[int, str]], window: int, shingle: int, radius: int, df: dict[int, int] | None = None, n_items: int | None = None):
+        """``df`` and ``n_items`` are those of all items if these are only some: shingles that several items have, and the number of items."""
         self.window, self.k, self.radius = window, shingle, radius
         self.per = window - shingle + 1
         words = [(i, words_of(t)) for i, t in items]
@@ -118,7 +125,9 @@ class ItemIndex:
                 parts.append(np.lib.stride_tricks.sliding_window_view(sh, self.per))
                 prints.append(simhash(sh, self.per))
                 owners.append(np.full(len(prints[-1]), i, np.int64))
-        self.n_items = len(items)
+        if df is not None:
+            self.df = df
+        self.n_items = len(items) if n_items is None else n_items
         empty = not runs
         self.runs = np.zeros((0, window), np.int32) if empty else np.concatenate(runs)
         self.parts = np.zeros((0, self.per), np.uint64) if empty else np.concatenate(parts)
@@ -135,6 +144,7 @@ class ItemIndex:
             there = np.zeros(int(low) + 1, bool)
             there[(value & low).astype(np.int64)] = True
             self.blocks.append((np.uint64(lo), mask, low, there, order, value[order]))
+        self.heavy: dict[float, tuple[np.ndarray, ...]] = {}
 
     def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All pairs (place in prints, window of an item) within the radius, each once."""
@@ -173,8 +183,68 @@ class ItemIndex:
         all_ = sum(self.weight(h) * max(p.get(h, 0), q.get(h, 0)) for h in {**p, **q})
         return both / all_ if all_ else 0.0
 
-    def scan(self, text: str | None, least: float) -> list[tuple[int, bool, float]]:
-        """(item, verbatim, similarity) of the windows of one text: each item once, with its best."""
+    def weights(self, h: np.ndarray) -> np.ndarray:
+        """The weight of each of many shingles."""
+        each, back = np.unique(h, return_inverse=True)
+        return np.array([self.weight(x) for x in each.tolist()])[back].reshape(h.shape)
+
+    def _heavy(self, least: float) -> tuple[np.ndarray, ...]:
+        """Shingles, sorted, each with a window: those of which a window as similar as ``least`` has at least one.  With them, what tells quickly that a shingle is none of them, and the weights of the windows' shingles."""
+        if least not in self.heavy:
+            weight = self.weights(self.parts)
+            order = np.argsort(-weight, axis=1, kind="stable")
+            sorted_ = np.take_along_axis(weight, order, 1)
+            # A similar window shares at least the part `least` of the weight.  A shingle is needed as long as those before it do not yet weigh more than the rest.
+            before = np.cumsum(sorted_, axis=1) - sorted_
+            row, col = np.nonzero(before <= (1 - least + EPS) * weight.sum(axis=1, keepdims=True))
+            key = self.parts[row, order[row, col]]
+            by = np.argsort(key, kind="stable")
+            there = np.zeros(1 << 22, bool)
+            there[(key & np.uint64(there.size - 1)).astype(np.int64)] = True
+            self.heavy[least] = key[by], row[by], there, weight
+        return self.heavy[least]
+
+    def similar(self, sh: np.ndarray, words: list[str], ids: np.ndarray, least: float, done: np.ndarray) -> Iterator[tuple[int, float]]:
+        """(window of an item, similarity) of windows that are at least as similar as ``least``, without the items of ``done``."""
+        key, window, there, weight = self._heavy(least)
+        at = np.flatnonzero(there[(sh & np.uint64(there.size - 1)).astype(np.int64)])
+        first, last = np.searchsorted(key, sh[at], "left"), np.searchsorted(key, sh[at], "right")
+        some = last > first
+        at, first, last = at[some], first[some], last[some]
+        if not len(at):
+            return
+        # Words that none of these items has, but others may: their shingles weigh what they weigh among all items.
+        own = self.hashes[ids].copy()
+        for i in np.flatnonzero(ids == len(self.number)).tolist():
+            own[i] = xxhash.xxh64_intdigest(words[i])
+        sh = shingles(own, self.k)
+        view = np.lib.stride_tricks.sliding_window_view(sh, self.per)
+        shift = np.arange(self.per)
+        step = max(1, PAIRS // self.per)
+        while len(at):  # the windows of one shingle, one after the other: memory stays bounded
+            for lo in range(0, len(at), step):
+                w = window[first[lo : lo + step]]
+                a = at[lo : lo + step, None] - shift[None, :]
+                w, a = np.repeat(w, self.per), a.ravel()
+                keep = (a >= 0) & (a < len(view)) & ~np.isin(self.owners[w], done)
+                w, a = w[keep], a[keep]
+                if not len(a):
+                    continue
+                x, y = view[a], self.parts[w]
+                equal = x[:, :, None] == y[:, None, :]
+                wx, wy = self.weights(x), weight[w]
+                # The shared weight is at most this; it is less only where shingles repeat.
+                both = np.minimum((wx * equal.any(axis=2)).sum(axis=1), (wy * equal.any(axis=1)).sum(axis=1))
+                for i in np.flatnonzero(both >= (least - EPS) * (wx.sum(axis=1) + wy.sum(axis=1) - both)).tolist():
+                    s = self.similarity(x[i], y[i])
+                    if s >= least - EPS:
+                        yield int(w[i]), s
+            first = first + 1
+            go = first < last
+            at, first, last = at[go], first[go], last[go]
+
+    def scan(self, text: str | None, least: float | None) -> list[tuple[int, bool, float]]:
+        """(item, verbatim, similarity) of the windows of one text: each item once, with its best; verbatim ones only if ``least`` is None."""
         words = words_of(text)
         if len(words) < self.window or not len(self.prints):
             return []
@@ -183,39 +253,52 @@ class ItemIndex:
         sh = shingles(self.hashes[ids], self.k)
         best: dict[int, tuple[bool, float]] = {}
         at, window = self.near(simhash(sh, self.per))
-        if not len(at):
-            return []
-        same = (np.lib.stride_tricks.sliding_window_view(ids, self.window)[at] == self.runs[window]).all(axis=1)
-        for item in np.unique(self.owners[window[same]]).tolist():
-            best[item] = (True, 1.0)
-        for a, w in zip(at[~same].tolist(), window[~same].tolist()):
-            item = int(self.owners[w])
-            if item not in best or not best[item][0]:
-                s = self.similarity(sh[a : a + self.per], self.parts[w])
-                if s >= least and s > best.get(item, (False, 0.0))[1]:
+        if len(at):
+            same = (np.lib.stride_tricks.sliding_window_view(ids, self.window)[at] == self.runs[window]).all(axis=1)
+            for item in np.unique(self.owners[window[same]]).tolist():
+                best[item] = (True, 1.0)
+        if least is not None:
+            for w, s in self.similar(sh, words, ids, least, np.array(list(best), np.int64)):
+                item = int(self.owners[w])
+                if s > best.get(item, (False, 0.0))[1]:
                     best[item] = (False, s)
         return [(i, v, s) for i, (v, s) in best.items()]
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, radius: int = RADIUS, least: float = 0.8, block: int = BLOCK) -> DataFrame:
+def _frequencies(items: DataFrame, shingle: int) -> dict[int, int]:
+    """Number of items of each shingle that several items have; one that a single item has weighs the same as an unknown one."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for text in pdf["prompt"]:
+                own = np.array([xxhash.xxh64_intdigest(w) for w in words_of(text)], np.uint64)
+                yield pd.DataFrame({"h": np.unique(shingles(own, shingle)).view(np.int64)})
+
+    rows = items.select("prompt").mapInPandas(run, "h bigint").groupBy("h").count().where("count > 1").toPandas()
+    return dict(zip(rows["h"].to_numpy(np.int64).view(np.uint64).tolist(), rows["count"].tolist()))
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, radius: int = RADIUS, least: float | None = 0.8, block: int = BLOCK) -> DataFrame:
     """(item_id, doc_id, verbatim, similarity) of items and documents that share a passage.
 
     documents(doc_id, text), items(item_id, prompt).  ``verbatim``: at least ``window``
-    consecutive words are the same; else the closest pair of windows within the radius has the
-    given weighted similarity of at least ``least``.  Items of fewer words have no passage; null
-    texts and ids give no rows; repeated rows and ids are judged together.
+    consecutive words are the same; else the closest pair of windows has the given weighted
+    similarity of at least ``least`` (None: verbatim ones only), and no such pair is missed.
+    Items of fewer words have no passage; null texts and ids give no rows; repeated rows and ids
+    are judged together.
     """
     docs = pick(documents, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     wanted = pick(items, "item_id", "prompt").where("item_id IS NOT NULL AND prompt IS NOT NULL").distinct()
     # Items are given to blocks of the index in order of their id, by the number of windows before them.
     sized = wanted.withColumn("w", F.greatest(F.size(F.split("prompt", r"\s+")), F.lit(1)))
     sized = stored(sized, "items")
-    total = sized.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    total, n_items = sized.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("*")).first()
     blocks = max(1, -(-int(total) // block))
+    df = _frequencies(sized, shingle) if blocks > 1 and least is not None else None
     found = None
     for b in range(blocks):
         part = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "prompt").select("item_id", "prompt").collect()  # about `block` words
-        index: Any = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.prompt) for r in part], window, shingle, radius))
+        index: Any = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.prompt) for r in part], window, shingle, radius, df, n_items))
 
         def run(it: Iterator[pd.DataFrame], index: Any = index) -> Iterator[pd.DataFrame]:
             own = index.value

@@ -18,12 +18,12 @@ def p6_filling(s: SparkSession, d: str) -> DataFrame:
     return packing.filling(packing.pack(load(s, d, "documents")))
 
 
-def _leaks(s: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(load(s, d, "documents"), load(s, d, "eval_items"))
+def _leaks(s: SparkSession, d: str, **kw) -> DataFrame:
+    return leakage.find_leaks(load(s, d, "documents"), load(s, d, "eval_items"), **kw)
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
-    return _leaks(s, d).where("verbatim").select("item_id", "doc_id")
+    return _leaks(s, d, least=None).where("verbatim").select("item_id", "doc_id")
 
 
 def p7_near(s: SparkSession, d: str) -> DataFrame:

@@ -80,3 +80,33 @@ def test_near_passages_and_edge_cases(spark):
     blocks = {(r.item_id, r.doc_id) for r in L.find_leaks(d, e, block=10).where("verbatim").collect()}
     assert blocks == {k for k, r in got.items() if r.verbatim}
     assert L.find_leaks(d.limit(0), e).count() == 0 and L.find_leaks(d, e.limit(0)).count() == 0
+
+
+def test_near_pairs_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    common = [f"c{i}" for i in range(6)]
+    items = [(k, " ".join([*common, *rng.choice([f"w{i}" for i in range(300)], 14), *(common if k % 2 else [])])) for k in range(30)]
+    docs = []
+    for k, p in items:
+        w = p.split()
+        docs.append((4 * k, " ".join(["new0", *w[1:13], "new1"])))  # one changed word at an end
+        docs.append((4 * k + 1, " ".join([*w[:6], "new2", *w[7:13]])))  # one inside
+        docs.append((4 * k + 2, " ".join(["new3", "c9", "new4", *w[2:14], "new5"])))
+        docs.append((4 * k + 3, " ".join(["w1 w2", *common * 3, "w3"])))
+    whole = L.ItemIndex(items, 13, 5, 2)
+    want = {}
+    for d, t in docs:
+        w = t.split()
+        ids = np.array([whole.number.get(x, len(whole.number)) for x in w])
+        sh = L.shingles(whole.hashes[ids], 5)
+        for a in range(len(w) - 12):
+            for u in range(len(whole.parts)):
+                s = whole.similarity(sh[a : a + 9], whole.parts[u])
+                if s >= 0.8 - 1e-9:
+                    at = (int(whole.owners[u]), d)
+                    want[at] = max(want.get(at, 0), s)
+    assert len(want) > 30
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, prompt string")
+    for block in (L.BLOCK, 200):  # the weights are those of all items, also if these come in blocks
+        got = {(r.item_id, r.doc_id): r.similarity for r in L.find_leaks(d, e, block=block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
