@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.llm import leakage, packing
 from loamgraph.llm.reading import ReadingLevels
-from loamgraph.session import load, stored
+from loamgraph.session import load
 
 
 def p6_containers(s: SparkSession, d: str) -> DataFrame:
@@ -30,8 +30,8 @@ def p7_near(s: SparkSession, d: str) -> DataFrame:
     return _leaks(s, d)
 
 
-def _levels(s: SparkSession, d: str) -> DataFrame:
-    return ReadingLevels(load(s, d, "documents"), load(s, d, "reading_labels")).levels()
+def _levels(s: SparkSession, d: str, **kw) -> DataFrame:
+    return ReadingLevels(load(s, d, "documents"), load(s, d, "reading_labels"), **kw).levels()
 
 
 def p8_found(s: SparkSession, d: str) -> DataFrame:
@@ -44,9 +44,7 @@ def p8_levels(s: SparkSession, d: str) -> DataFrame:
 
 def p8_profile(s: SparkSession, d: str) -> DataFrame:
     """Documents and words of prose by source and band."""
-    levels = stored(_levels(s, d), "levels")
-    docs = load(s, d, "documents").select("doc_id", "source")
-    return levels.join(docs, "doc_id").groupBy("source", "band").agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.avg("score").alias("mean_score"))
+    return _levels(s, d, keep=["source"]).groupBy("source", "band").agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.avg("score").alias("mean_score"))
 
 
 QUERIES = {
