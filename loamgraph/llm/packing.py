@@ -24,6 +24,8 @@ CAPACITY = 4096
 OPEN = 64
 #: Mean number of items in a group of the first round, and of groups that share a second round.
 GROUP, FAN_IN = 50_000, 64
+#: Rows of one id and size that are made from one array.
+COPIES = 4096
 
 
 def tokenizer_path(name: str) -> str:
@@ -112,13 +114,18 @@ def pack(documents: DataFrame, *, capacity: int = CAPACITY, open_bins: int = OPE
 
     A document larger than the capacity is cut into full containers and a rest; no other is
     cut.  Documents without tokens take no room and have no row.  ``start`` is the place in the
-    container.  Rows with one doc_id (or null) are separate items.  The outcome depends on the
+    container.  Rows with one doc_id (or null) are separate items, and are spread over the groups like
+    any others.  The outcome depends on the
     ids, the sizes and the parameters alone, so a task that is run again gives the same.
     """
     sizes = stored(token_counts(documents, path=path), "sizes")
     n = sizes.count()
     groups = max(1, math.ceil(n / group))
-    items = sizes.where("tokens > 0").select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(groups)).alias("g"))
+    # Rows of one id and size are alike, so they are counted and numbered, in two steps to keep the arrays short: no group gets all rows of an id.
+    alike = sizes.where("tokens > 0").groupBy("doc_id", "tokens").agg(F.count("*").alias("n"))
+    blocks = alike.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))).alias("b"))
+    copies = blocks.select("doc_id", "tokens", F.explode(F.sequence(F.col("b") * COPIES, F.least(F.col("n"), (F.col("b") + 1) * COPIES) - 1)).alias("k"))
+    items = copies.select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "k", F.lit(7)), F.lit(groups)).alias("g"))
     return _pack(items, capacity, open_bins, groups, fan_in)
 
 

@@ -85,6 +85,18 @@ def test_edge_cases(spark):
     assert P.pack(docs.limit(0)).count() == 0
 
 
+def test_groups_are_bounded_whatever_the_ids(spark, monkeypatch):
+    docs = spark.range(9000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 5, id)) AS doc_id", "repeat('a b ', cast(1 + id % 2 AS int)) AS text")
+    seen = []
+    pack = P._pack
+    monkeypatch.setattr(P, "_pack", lambda items, *a: seen.append(items.groupBy("g").count().toPandas()) or pack(items, *a))
+    monkeypatch.setattr(P, "COPIES", 64)
+    rows = P.pack(docs, group=300).collect()
+    want = sorted(((r.doc_id, r.tokens) for r in P.token_counts(docs).collect()), key=str)
+    assert sorted(((r.doc_id, r.tokens) for r in rows), key=str) == want
+    assert seen[0]["count"].sum() == 9000 and seen[0]["count"].max() < 2 * 300
+
+
 def test_tokenizers_agree(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     a = P.token_counts(docs).collect()
