@@ -101,9 +101,10 @@ def first_by_filter(entries: DataFrame, base_keys: DataFrame, *, bits: int = 44,
     """
     records = _records(entries)
     r = records.agg(F.count("*").alias("n"), F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
-    seen = SeenFilter.create(base_keys, "key", bits=bits, capacity=r.n)
     if not r.n:
         return records.select("seq")
+    earlier = pick(base_keys, "key").where("key IS NOT NULL").count()
+    seen = SeenFilter.create(base_keys, "key", bits=bits, capacity=r.n + earlier)
     edges = [r.lo + (r.hi + 1 - r.lo) * i // batches for i in range(batches + 1)]
     firsts = None
     for lo, hi in zip(edges, edges[1:]):

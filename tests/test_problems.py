@@ -90,6 +90,17 @@ def test_seen_before(spark, bits):
     assert want <= {r.seq for r in seen.seen_before(e, b, bits=bits, exact=False).collect()}  # never the other way
 
 
+def test_shards_follow_from_the_earlier_keys_too(spark, monkeypatch):
+    monkeypatch.setattr(seen, "SHARD", 16)
+    made = []
+    create = seen.SeenFilter.create
+    monkeypatch.setattr(seen.SeenFilter, "create", lambda *a, **kw: made.append(create(*a, **kw)) or made[-1])
+    base = spark.range(4000).selectExpr("encode(cast(id AS string), 'utf-8') AS key")
+    e = spark.createDataFrame([(1, b"7"), (2, b"x"), (3, b"x")], "seq bigint, key binary")
+    assert {r.seq for r in seen.seen_before(e, base).collect()} == {1, 3}
+    assert made[0].shard_bits == 8 and made[0].state.count() > 128
+
+
 def test_seen_empty(spark):
     e, b = spark.createDataFrame([], "seq bigint, key binary"), spark.createDataFrame([(b"a",)], "key binary")
     assert seen.seen_before(e, b).count() == 0
