@@ -1,7 +1,8 @@
 """Places, differences and running sums in an order, without a task that holds a whole group.
 
 A window over a group puts all its rows into one task.  Here a group is cut into blocks
-of its order (equal ranges of the ordering number); inside the blocks plain windows run, and what a
+of its order (between quantiles of the ordering number over all rows, so clustered and
+outlying numbers make no large block; only equal numbers stay together); inside the blocks plain windows run, and what a
 block hands to the next (its number of rows, its last value, its sum) comes from a window
 over one row per block.  A group that holds a third of all rows is spread like any other.
 """
@@ -15,16 +16,22 @@ from pyspark.sql import functions as F
 
 from loamgraph.session import shuffle_parts, stored
 
-#: Blocks the range of the ordering number is cut into.
+#: Blocks the rows are cut into by the ordering number.
 BLOCKS = 1024
 
 
 def _blocked(df: DataFrame, order: str) -> DataFrame:
     """With _b: the block of the ordering number, null numbers in the first."""
-    ends = df.agg(F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi"))
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / BLOCKS, F.lit(1e-300))
-    at = F.coalesce(F.floor((F.col(order).cast("double") - F.col("_lo")) / width), F.lit(-1))
-    return df.crossJoin(F.broadcast(ends)).withColumn("_b", F.least(at, F.lit(BLOCKS))).drop("_lo", "_hi")  # one row
+    x = F.col(order).cast("double")
+    cuts = df.agg(F.percentile_approx(x, [i / BLOCKS for i in range(1, BLOCKS)], 16 * BLOCKS)).first()[0]  # one row of BLOCKS - 1 numbers, null without numbers
+    cuts = sorted({c for c in cuts or () if c == c})
+    if not cuts:
+        return df.withColumn("_b", F.lit(-1).cast("bigint"))
+    known = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
+    # The number of cuts below the value, by halving.
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(BLOCKS.bit_length()))))
+    below = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.coalesce(F.get(known, n + step - 1) < x, F.lit(False)), step).otherwise(0))
+    return df.withColumn("_b", F.when(x.isNull(), -1).otherwise(below).cast("bigint"))
 
 
 def _carried(df: DataFrame, by: Sequence[str], per_block: Column, over_blocks) -> DataFrame:

@@ -174,6 +174,16 @@ def test_changes(g, spark):
     assert PropertyGraph.new(spark).degrees().count() == 0
 
 
+def test_blocks_of_clustered_numbers(spark):
+    df = spark.range(20_000).selectExpr("id % 2 AS g", "IF(id = 7, 1000000000000000000, IF(id = 8, NULL, id)) AS x")
+    sizes = [r["count"] for r in ordered._blocked(df, "x").groupBy("_b").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 10 * 20_000 / ordered.BLOCKS
+    got = sorted((r.g, r.x is not None, r.x or 0, r.n) for r in ordered.ranked(df, ["g"], "x", "n").collect())
+    assert [n for *_, n in got] == [*range(1, 10_001)] * 2
+    sums = {(r.g, r.x): r.s for r in ordered.running(ordered.differences(df.where("x IS NOT NULL"), ["g"], "x", "d"), ["g"], "x", "d", "s").collect()}
+    assert len(sums) == 19_999 and all(x == s for (_, x), s in sums.items())
+
+
 def test_importers(spark, tmp_path, graphml):
     (tmp_path / "a.txt").write_text("1 2\n2 3\n\nx y\n")
     (tmp_path / "b.txt").write_text("3\t1\n1 2\n")
