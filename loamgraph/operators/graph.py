@@ -19,13 +19,13 @@ from loamgraph.session import empty, pick
 
 EDGE = ("id", "src", "dst", "label")
 PROP = ("elem", "id", "key", "val")
-#: What the graph can do, by the names common to property-graph interfaces.
+#: What the graph can do, by the names common to property-graph interfaces.  Property values are text, so lists, arrays, maps and objects are none.
 FEATURES = {
     "supportsDuplicateEdges": True, "supportsSelfLoops": True, "isPersistent": True, "isRDFModel": False, "supportsVertexIteration": True, "supportsEdgeIteration": True,
     "supportsVertexIndex": False, "supportsEdgeIndex": False, "ignoresSuppliedIds": False, "supportsTransactions": False, "supportsIndices": False, "supportsKeyIndices": False,
     "supportsVertexKeyIndex": False, "supportsEdgeKeyIndex": False, "supportsEdgeRetrieval": True, "supportsVertexProperties": True, "supportsEdgeProperties": True, "supportsThreadedTransactions": False,
-    "supportsSerializableObjectProperty": True, "supportsBooleanProperty": True, "supportsDoubleProperty": True, "supportsFloatProperty": True, "supportsIntegerProperty": True,
-    "supportsPrimitiveArrayProperty": True, "supportsUniformListProperty": True, "supportsMixedListProperty": True, "supportsLongProperty": True, "supportsMapProperty": True, "supportsStringProperty": True,
+    "supportsSerializableObjectProperty": False, "supportsBooleanProperty": True, "supportsDoubleProperty": True, "supportsFloatProperty": True, "supportsIntegerProperty": True,
+    "supportsPrimitiveArrayProperty": False, "supportsUniformListProperty": False, "supportsMixedListProperty": False, "supportsLongProperty": True, "supportsMapProperty": False, "supportsStringProperty": True,
 }
 
 

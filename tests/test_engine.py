@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions import codec
 from loamgraph.operators import changelog, ordered, traverse
-from loamgraph.operators.graph import PropertyGraph
+from loamgraph.operators.graph import FEATURES, PropertyGraph
 from loamgraph.operators.store import Store
 from loamgraph.sources import importers
 from loamgraph.streaming import replay
@@ -184,6 +184,11 @@ def test_blocks_of_clustered_numbers(spark):
     assert len(sums) == 19_999 and all(x == s for (_, x), s in sums.items())
 
 
+def test_features_claim_no_more_than_text(spark):
+    assert PropertyGraph.new(spark).props.schema["val"].dataType.simpleString() == "string"
+    assert not any(FEATURES[f"supports{kind}Property"] for kind in ("Map", "UniformList", "MixedList", "PrimitiveArray", "SerializableObject"))
+
+
 def test_importers(spark, tmp_path, graphml):
     (tmp_path / "a.txt").write_text("1 2\n2 3\n\nx y\n")
     (tmp_path / "b.txt").write_text("3\t1\n1 2\n")
