@@ -94,7 +94,7 @@ def parse(text: str | None) -> tuple[bool, Any]:
 
 
 def dump(value: Any) -> str | None:
-    """Text of a value: a string as it is, a number as written, null as None, the rest as JSON.  Half surrogates become question marks."""
+    """Text of a value: a string as it is, a number as written, null as None, the rest as JSON without blanks.  Half surrogates become question marks."""
     if value is None:
         return None
     if isinstance(value, str):
@@ -112,12 +112,12 @@ def dump(value: Any) -> str | None:
         elif isinstance(v, dict):
             parts: list[Any] = [_Raw("{")]
             for i, (k, x) in enumerate(v.items()):
-                parts += [_Raw((", " if i else "") + json.dumps(k, ensure_ascii=False) + ": "), x]
+                parts += [_Raw(("," if i else "") + json.dumps(k, ensure_ascii=False) + ":"), x]
             todo.extend(reversed([*parts, _Raw("}")]))
         elif isinstance(v, list):
             parts = [_Raw("[")]
             for i, x in enumerate(v):
-                parts += ([_Raw(", ")] if i else []) + [x]
+                parts += ([_Raw(",")] if i else []) + [x]
             todo.extend(reversed([*parts, _Raw("]")]))
         else:
             out.append("null" if v is None else "true" if v else "false")

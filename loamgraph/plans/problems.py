@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.functions.text import sql_is_float, sql_is_int, sql_strip
 from loamgraph.operators import hotkeys, seen
-from loamgraph.operators.inline import graph_elements, graph_tables
+from loamgraph.operators.inline import LINKS, graph_elements, graph_tables
 from loamgraph.operators.orphans import References
 from loamgraph.operators.widen import WideTables
 from loamgraph.session import load
@@ -74,12 +74,12 @@ def p4_edge_lists(s: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
-    return graph_elements(graph_tables(load(s, d, "raw_records")))
+    return graph_elements(graph_tables(load(s, d, "raw_records"), only=LINKS))
 
 
 def _p5_table(name: str, *columns: str):
     def run(s: SparkSession, d: str) -> DataFrame:
-        return graph_tables(load(s, d, "raw_records")).table(name, *columns)
+        return graph_tables(load(s, d, "raw_records"), only={name: columns}).element(name, *columns).withColumn("n", F.col("n").cast("bigint"))
 
     return run
 
@@ -135,6 +135,23 @@ _ORPHANS = f"""refs AS (SELECT DISTINCT id AS edge_id, side, ts, endpoint FROM
               AND NOT EXISTS (SELECT 1 FROM vertices v WHERE v.id = r.k AND v.created_ts <= r.ts AND (v.removed_ts IS NULL OR r.ts < v.removed_ts))))"""
 _ENTRIES = """entries AS (SELECT key, vertex_id, edge_id, arg_max(struct_pack(l := label), (seq, label)).l AS label, count(*) AS writes, min(ts) AS first_ts, max(ts) AS last_ts
                           FROM adjacency WHERE key IS NOT NULL AND vertex_id IS NOT NULL GROUP BY key, vertex_id, edge_id)"""
+# Every value of the valid texts with its parent; the objects with the name they have in the object that holds them; those that have a row, with its number.
+_JSON = """r AS (SELECT DISTINCT record_id, payload, coalesce(record_id::VARCHAR, '?') || ':' || left(md5(payload), 16) AS doc FROM raw_records WHERE payload IS NOT NULL AND json_valid(payload)),
+     t AS (SELECT r.record_id, r.doc, j.key, j.value, j.type, j.id, j.parent, j.fullkey FROM r, json_tree(r.payload) j WHERE NOT regexp_matches(j.fullkey, '\\.value[.\\[]')),
+     tops AS (SELECT doc FROM t WHERE parent IS NULL AND type = 'OBJECT'),
+     o AS (SELECT t.*, CASE WHEN p.type = 'ARRAY' THEN p.key ELSE t.key END AS name, CASE WHEN p.type = 'ARRAY' THEN p.parent ELSE t.parent END AS holder
+           FROM t JOIN tops USING (doc) LEFT JOIN t p ON p.doc = t.doc AND p.id = t.parent WHERE t.type = 'OBJECT'),
+     w AS (SELECT *, doc || '/' || (row_number() OVER (PARTITION BY doc ORDER BY id) - 1) AS row_id, row_number() OVER (PARTITION BY doc, holder, name ORDER BY id) - 1 AS n
+           FROM o WHERE parent IS NULL OR name IN ('graph', 'node', 'edge', 'data', 'port', 'key')),
+     a AS (SELECT doc, parent, key, CASE WHEN type <> 'NULL' THEN value ->> '$' END AS val FROM t WHERE key = 'value' OR type NOT IN ('OBJECT', 'ARRAY'))"""
+_ATTR = "(SELECT val FROM a WHERE a.doc = {0}.doc AND a.parent = {0}.id AND a.key = '{1}')"
+
+
+def _p5_sql(name: str, *columns: str) -> str:
+    values = ", ".join(f'{_ATTR.format("w", c)} AS "{c}"' for c in columns)
+    return f"""WITH {_JSON} SELECT w.record_id, w.row_id, coalesce(p.name, 'record') AS parent_tbl, p.row_id AS parent_row, w.n, {values}
+        FROM w JOIN w p ON p.doc = w.doc AND p.id = w.holder WHERE w.name = '{name}'"""
+
 
 ORACLES = {
     "p1_found": f"WITH {_CELLS} SELECT c.elem, c.id, c.key FROM cells c JOIN kinds k USING (elem, key) WHERE val IS NOT NULL AND NOT ({_FITS})",
@@ -154,4 +171,11 @@ ORACLES = {
         FROM entries e JOIN t ON e.key = t.key AND e.vertex_id = t.vertex_id GROUP BY e.key, e.vertex_id""",
     "p4_edge_lists": """SELECT key, vertex_id, block, count(*) AS n, string_agg(edge_id::VARCHAR, ',' ORDER BY edge_id) AS edges FROM
         (SELECT DISTINCT key, vertex_id, edge_id, edge_id // 4096 AS block FROM adjacency WHERE key IS NOT NULL AND vertex_id IS NOT NULL AND edge_id IS NOT NULL) GROUP BY ALL""",
+    "p5_found": f"""WITH {_JSON}, e AS (SELECT w.record_id, w.doc, w.id, w.name, coalesce({_ATTR.format("w", "id")}, '') AS elem_id, coalesce({_ATTR.format("h", "id")}, '') AS parent_id
+            FROM w JOIN w g ON g.doc = w.doc AND g.id = w.holder AND g.name = 'graph' LEFT JOIN w h ON h.doc = w.doc AND h.id = g.holder AND h.name = 'node' WHERE w.name IN ('node', 'edge')),
+        k AS (SELECT w.doc, w.holder, {_ATTR.format("w", "key")} AS key FROM w WHERE w.name = 'data')
+        SELECT DISTINCT e.record_id, elem_id, parent_id, coalesce(k.key, '') AS key FROM e LEFT JOIN k ON k.doc = e.doc AND k.holder = e.id AND k.key IS NOT NULL""",
+    "p5_nodes": _p5_sql("node", "id", "desc"),
+    "p5_edges": _p5_sql("edge", "id", "source", "target", "label"),
+    "p5_data": _p5_sql("data", "key", "value", "desc"),
 }

@@ -7,13 +7,16 @@ import json
 import random
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loamgraph.functions import jsontext
 from loamgraph.operators import hotkeys, quotient, seen
-from loamgraph.operators.inline import FlatTables, graph_elements, graph_tables
+from loamgraph.operators import inline
+from loamgraph.operators.inline import LINKS, FlatTables, graph_elements, graph_tables
 from loamgraph.operators.orphans import References
 from loamgraph.operators.widen import WideTables
 from loamgraph.plans.problems import QUERIES
@@ -198,6 +201,63 @@ def test_nested_edge_cases(spark):
     assert graph_elements(empty).count() == 0 and empty.table("node").count() == 0
 
 
+def test_names_that_clash(spark):
+    rows = [(1, '{"a_b": 1, "a": {"b": 2, "x": [7, 8]}, "n": 3, "row_id": 4, "id": 5, "Id": 6}'), (2, '{"a_x": [{"q": 1}]}'), (3, '{"record": [{"z": 9}], "Record": [{"z": 10}], "": {"": 11}}')]
+    flat = FlatTables(spark.createDataFrame(rows, "record_id bigint, payload string"))
+    assert all(len({c.lower() for c in [*inline.KEYS, *cs]}) == len(cs) + len(inline.KEYS) for cs in flat.columns.values())
+    got = flat.element("record", "z").collect(), flat.element("Record", "z").collect(), flat.element("a_x", "q").collect()
+    assert [[(r[-1]) for r in rs] for rs in got] == [["9"], ["10"], ["1"]]
+    assert [r["item"] for r in flat.table("a_x_2").orderBy("n").collect()] == ["7", "8"]
+    top = {r.record_id: r.asDict() for r in flat.table(flat.graph.tables[(inline.TOP,)]).collect()}
+    assert sorted(v for k, v in top[1].items() if v is not None and k not in inline.KEYS) == list("123456")
+    assert len(set(map(str.lower, flat.graph.tables.values()))) == len(flat.graph.tables)
+
+
+def test_only_what_is_asked_for(spark):
+    records = spark.read.parquet("/root/testdata/sf0.001/raw_records.parquet")
+    whole, some = graph_tables(records), graph_tables(records, only=LINKS)
+    assert {r.tbl for r in some.rows.select("tbl").distinct().collect()} == {"node", "edge", "graph", "data"}
+    for t, cs in LINKS.items():
+        assert sorted(map(str, some.element(t, *cs).collect())) == sorted(map(str, whole.element(t, *cs).collect()))
+    with pytest.raises(ValueError):
+        some.table("data", "value")
+
+
+NAMES = st.sampled_from(["a", "A", "b", "a_b", "b_a", "n", "", "record", "item", "a_a", "id", "row_id"])
+SCALARS = st.none() | st.booleans() | st.integers(-9, 9) | st.text(max_size=2)
+OBJECTS = st.dictionaries(NAMES, st.recursive(SCALARS, lambda x: st.lists(x, max_size=3) | st.dictionaries(NAMES, x, max_size=4), max_leaves=12), max_size=4)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(OBJECTS, max_size=4))
+def test_every_scalar_comes_back(records):
+    texts = [json.dumps(r) for r in records]
+    found = [tuple(r) for pdf in inline._analyse(frozenset())(iter([pd.DataFrame({"payload": texts})])) for r in pdf.itertuples(index=False)]
+    children = {}
+    for what, e, n in found:
+        if what in ("o", "oo"):
+            children[e, n] = children.get((e, n), False) or what == "oo"
+    graph = inline.SchemaGraph(children, frozenset((e, n) for w, e, n in found if w == "a"), frozenset((e, n) for w, e, n in found if w == "l"))
+    batch = pa.RecordBatch.from_pydict({"record_id": list(range(len(texts))), "doc": [str(i) for i in range(len(texts))], "payload": texts})
+    rows = [r for rb in inline._shred(graph, frozenset(), None, batch=3)(iter([batch])) for r in rb.to_pylist()]
+    want = []
+    for i, r in enumerate(records):
+        todo = [r]
+        while todo:
+            x = todo.pop()
+            for v in x.values():
+                for y in v if isinstance(v, list) else [v]:
+                    if isinstance(y, dict):
+                        todo.append(y)
+                    else:
+                        want.append((i, jsontext.dump(jsontext.parse(json.dumps(y))[1])))
+    assert sorted(map(str, want)) == sorted(str((r["record_id"], v)) for r in rows for _, v in r["vals"])
+    layout = graph.layout()
+    assert all(len({k for k, _ in r["vals"]}) == len(r["vals"]) and {k for k, _ in r["vals"]} <= set(layout[r["tbl"]]) for r in rows)
+    ids = {(r["tbl"], r["row_id"]) for r in rows}
+    assert len(ids) == len(rows) and all(r["parent_row"] is None or (r["parent_tbl"], r["parent_row"]) in ids for r in rows)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.recursive(st.none() | st.booleans() | st.integers() | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=15))
 def test_json_reader(value):
