@@ -19,18 +19,27 @@ LOAD = 0.75
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
-    """Whole numbers of ``width`` bits, one after the other."""
-    if not width or not len(values):
-        return b""
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint64)[None, :]) & np.uint64(1)
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-
-
-def _unpack(data: bytes, width: int, n: int) -> np.ndarray:
-    if not width or not n:
-        return np.zeros(n, np.uint64)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return (bits.astype(np.uint64) << np.arange(width, dtype=np.uint64)[None, :]).sum(axis=1, dtype=np.uint64)
+    """Whole numbers of ``width`` bits, one after the other, as words of 64 bits with one word to spare."""
+    n = len(values)
+    out = np.zeros((n * width + 63) // 64 + 1, np.uint64)
+    if width and n:
+        bit = np.arange(n, dtype=np.uint64) * np.uint64(width)
+        word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        over = np.flatnonzero(shift + np.uint64(width) > np.uint64(64))  # at most one value of a word goes on in the next
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return out.astype("<u8").tobytes()
+
+
+def _values(words: np.ndarray, width: int, at: np.ndarray) -> np.ndarray:
+    """The packed numbers at some places."""
+    if not width:
+        return np.zeros(len(at), np.uint64)
+    bit = at.astype(np.uint64) * np.uint64(width)
+    word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+    high = np.where(shift > 0, words[word + 1] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
+    return ((words[word] >> shift) | high) & np.uint64((1 << width) - 1)
 
 
 def build(fingerprints: np.ndarray, bits: int) -> bytes:
@@ -52,29 +61,43 @@ def build(fingerprints: np.ndarray, bits: int) -> bytes:
     return _HEAD.pack(bits, q, n, slots) + np.packbits(flags, axis=1, bitorder="little").tobytes() + body
 
 
-def _read(blob: bytes) -> tuple[int, np.ndarray, np.ndarray]:
-    bits, q, n, slots = _HEAD.unpack_from(blob)
-    r, row = bits - q, (slots + 7) // 8
-    at = _HEAD.size + 3 * row
-    flags = np.unpackbits(np.frombuffer(blob, np.uint8, 3 * row, _HEAD.size).reshape(3, row), axis=1, count=slots, bitorder="little").astype(bool)
-    used = np.flatnonzero(flags.any(axis=0))
-    run = np.cumsum(~flags[1, used]) - 1  # the k-th run belongs to the k-th quotient that occurs
-    quotient = np.flatnonzero(flags[0])[run] if n else np.zeros(0, np.int64)
-    return bits, quotient, _unpack(blob[at:], r, n)
+def _flags(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits that mark the quotients that occur, place of the first entry of each run and one past the last, words of the remainders)."""
+    _, _, n, slots = _HEAD.unpack_from(blob)
+    row = (slots + 7) // 8
+    rows = np.frombuffer(blob, np.uint8, 3 * row, _HEAD.size).reshape(3, row)
+    used = np.unpackbits(rows[0] | rows[1] | rows[2], count=slots, bitorder="little").view(bool)
+    goes_on = np.unpackbits(rows[1], count=slots, bitorder="little").view(bool)[used]
+    return rows[0], np.append(np.flatnonzero(~goes_on), n), np.frombuffer(blob, "<u8", -1, _HEAD.size + 3 * row)
 
 
 def fingerprints(blob: bytes) -> np.ndarray:
     """All fingerprints, in order."""
-    bits, quotient, remainder = _read(blob)
-    r = bits - blob[1]
-    return (quotient.astype(np.uint64) << np.uint64(r)) | remainder
+    bits, q, n, slots = _HEAD.unpack_from(blob)
+    occurs, first, words = _flags(blob)
+    quotient = np.repeat(np.flatnonzero(np.unpackbits(occurs, count=slots, bitorder="little")), np.diff(first))  # the k-th run belongs to the k-th quotient that occurs
+    return (quotient.astype(np.uint64) << np.uint64(bits - q)) | _values(words, bits - q, np.arange(n))
 
 
 def contains(blob: bytes, wanted: np.ndarray) -> np.ndarray:
-    """Whether each wanted fingerprint is in the filter."""
-    have = fingerprints(blob)
-    at = np.searchsorted(have, wanted)
-    return (at < len(have)) & (have[np.minimum(at, max(0, len(have) - 1))] == wanted) if len(have) else np.zeros(len(wanted), bool)
+    """Whether each wanted fingerprint is in the filter: its quotient's run is looked at, entry by entry, and nothing else is decoded."""
+    bits, q, _, _ = _HEAD.unpack_from(blob)
+    r = bits - q
+    occurs, first, words = _flags(blob)
+    quotient, rest = (wanted >> np.uint64(r)).astype(np.int64), wanted & np.uint64((1 << r) - 1)
+    byte, bit = quotient >> 3, (quotient & 7).astype(np.uint8)
+    found = np.zeros(len(wanted), bool)
+    at = np.flatnonzero(occurs[byte] >> bit & 1)
+    before = np.concatenate([[0], np.cumsum(np.bitwise_count(occurs), dtype=np.int64)])
+    run = before[byte[at]] + np.bitwise_count(occurs[byte[at]] & ((np.uint8(1) << bit[at]) - np.uint8(1)))
+    entry, last = first[run], first[run + 1]
+    while len(at):
+        here = _values(words, r, entry)
+        found[at[here == rest[at]]] = True
+        entry = entry + 1
+        go = (here < rest[at]) & (entry < last)
+        at, entry, last = at[go], entry[go], last[go]
+    return found
 
 
 def merge(a: bytes, b: bytes) -> bytes:
@@ -90,8 +113,3 @@ def merge(a: bytes, b: bytes) -> bytes:
 def entries(blob: bytes) -> int:
     """How many fingerprints a filter holds."""
     return _HEAD.unpack_from(blob)[2]
-
-
-def collision_rate(n: float, bits: int) -> float:
-    """Derived chance that a key not among ``n`` stored ones is taken for one of them."""
-    return float(-np.expm1(n * np.log1p(-(2.0**-bits))))

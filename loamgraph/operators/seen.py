@@ -6,7 +6,7 @@ seq) by map-side combining, so a key with a third of all records is one row per
 Each shard then looks its fingerprints up in its filter, names the records that are
 first of their fingerprint, and merges the batch's filter into its own.  All other
 records have been seen.  Shards hold equally many fingerprints whatever the keys are,
-since they divide the hash space.
+since they divide the hash space.  The earlier keys themselves are not needed.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from loamgraph.operators import quotient
 from loamgraph.session import pick, stored
 
-#: Fingerprints a shard is meant for; the shards' number follows from the number of keys.
+#: Fingerprints a shard is meant for; the shards' number follows from the number of keys, earlier ones included.
 SHARD = 1 << 17
+#: Bits of a fingerprint.  Of n keys about n * n / 2**63 meet one that is not theirs: 10**8 keys give a thousandth of one wrong answer.
+BITS = 62
 
 
 def fingerprint(key: Column, bits: int) -> Column:
@@ -30,6 +32,11 @@ def fingerprint(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
 
+def shard_bits(capacity: int) -> int:
+    """Upper bits of a fingerprint that name its shard, for so many keys."""
+    return max(4, int(np.ceil(np.log2(max(1, capacity) / SHARD))))
+
+
 class SeenFilter:
     """Quotient filters by shard, stored as a table (shard, blob).
 
@@ -43,10 +50,10 @@ class SeenFilter:
     @classmethod
     def create(cls, keys: DataFrame, key: str, *, bits: int, capacity: int) -> SeenFilter:
         """Filter of all non-null keys of a table."""
-        shard_bits = max(4, int(np.ceil(np.log2(max(1, capacity) / SHARD))))
-        if not shard_bits < bits < 64:
+        shards = shard_bits(capacity)
+        if not shards < bits < 64:
             raise ValueError("bits must be below 64 and above the shards' bits")
-        inner, rest = bits - shard_bits, (1 << (bits - shard_bits)) - 1
+        inner, rest = bits - shards, (1 << (bits - shards)) - 1
 
         def pack(pdf: pd.DataFrame) -> pd.DataFrame:
             fp = np.unique(pdf["fp"].to_numpy(np.int64)).astype(np.uint64) & np.uint64(rest)
@@ -54,7 +61,7 @@ class SeenFilter:
 
         fps = pick(keys, key).where(F.col(key).isNotNull()).select(fingerprint(F.col(key), bits).alias("fp")).distinct()
         state = fps.select(F.shiftright("fp", inner).alias("shard"), "fp").groupBy("shard").applyInPandas(pack, "shard bigint, blob binary")
-        return cls(stored(state, "filter"), bits, shard_bits)
+        return cls(stored(state, "filter"), bits, shards)
 
     def absorb(self, batch: DataFrame, key: str, seq: str) -> tuple[DataFrame, SeenFilter]:
         """(the seqs of the records that are first of their fingerprint, the filter with the batch in it)."""
@@ -93,7 +100,7 @@ def _records(entries: DataFrame) -> DataFrame:
     return pick(entries, "seq", "key").where("seq IS NOT NULL AND key IS NOT NULL")
 
 
-def first_by_filter(entries: DataFrame, base_keys: DataFrame, *, bits: int = 44, batches: int = 4) -> DataFrame:
+def first_by_filter(entries: DataFrame, base_keys: DataFrame, *, bits: int = BITS, batches: int = 4) -> DataFrame:
     """(seq) of the records whose fingerprint occurs neither in base_keys nor in a record of lower seq.
 
     The records are absorbed in ``batches`` slices of the range of seq, one after the other,
@@ -118,53 +125,66 @@ def _exact_firsts(records: DataFrame, base: DataFrame) -> DataFrame:
     return records.groupBy("key").agg(F.min("seq").alias("seq")).join(base, "key", "left_anti").select("seq")
 
 
-def seen_before(entries: DataFrame, base_keys: DataFrame, *, bits: int = 44, batches: int = 4, exact: bool = True) -> DataFrame:
+def seen_before(entries: DataFrame, base_keys: DataFrame, *, bits: int = BITS, batches: int = 4, exact: bool = False) -> DataFrame:
     """(seq) of each record whose key was in base_keys or in a record of lower seq.
 
     Records without seq or key are left out; rows of one seq are one record (of different
     keys under one seq each is looked at, and the record counts as seen unless one is new).
-    Any bytes are a key, the empty key too.  ``exact`` checks the filter's answers where
-    two keys share a fingerprint; only such keys are compared.
+    Any bytes are a key, the empty key too.  The filter's answers are wrong only where two keys
+    share a fingerprint (``error_rates``).  ``exact``, possible where the earlier keys are still at
+    hand, looks for such keys among the records called seen and what shares their fingerprints,
+    and compares these; two keys count as one if 62 and 64 bits of different hashes are the same.
     """
     records = _records(entries)
-    base = pick(base_keys, "key").where("key IS NOT NULL")
     firsts = first_by_filter(entries, base_keys, bits=bits, batches=batches)
-    if exact:
-        fp = fingerprint(F.col("key"), bits).alias("fp")
-        shared = records.select("key", fp).unionByName(base.select("key", fp)).groupBy("fp").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("fp")
-        shared = stored(shared, "shared")
-        mixed = records.withColumn("fp", fp).join(shared, "fp", "left_semi").drop("fp")
-        firsts = firsts.unionByName(_exact_firsts(mixed, base))
-    return records.select("seq").distinct().join(firsts, "seq", "left_anti")
+    known = records.select("seq").distinct().join(firsts, "seq", "left_anti")
+    if not exact:
+        return known
+    base = pick(base_keys, "key").where("key IS NOT NULL")
+    fp, other = fingerprint(F.col("key"), bits).alias("fp"), F.xxhash64(F.lit(1), "key").alias("other")
+    asked = records.join(known, "seq", "left_semi").select(fp).distinct()
+    hashes = records.select(fp, other).unionByName(base.select(fp, other)).join(asked, "fp", "left_semi")
+    shared = stored(hashes.groupBy("fp").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo < hi").select("fp"), "shared")
+    mixed = records.withColumn("fp", fp).join(shared, "fp", "left_semi").drop("fp")
+    return known.join(_exact_firsts(mixed, base), "seq", "left_anti")
 
 
-def error_rates(entries: DataFrame, base_keys: DataFrame, *, widths: tuple[int, ...] = (24, 28, 44)) -> DataFrame:
-    """For each fingerprint length: records that are new, how many of them the filter calls seen, that rate measured and derived.
+def derived_rates(entries: DataFrame, base_keys: DataFrame, *, widths: tuple[int, ...] = (24, 28, BITS)) -> DataFrame:
+    """(bits, records, new_records, base, derived_rate) for each fingerprint length.
 
-    A filter never calls a seen record new, so these are all wrong answers.  The derived
-    rate is the mean over the new records of the chance to meet one of the n keys stored before.
+    The derived rate is the share of records expected to be called seen although they are new: the
+    mean over the new records of the chance to meet one of the keys stored before.
     """
     records = _records(entries)
     base = pick(base_keys, "key").where("key IS NOT NULL").distinct()
-    new = stored(_exact_firsts(records, base), "new")
-    total = records.select("seq").distinct()
+    new = _exact_firsts(records, base)
+    n = (
+        new.agg(F.count("*").alias("new_records"))
+        .crossJoin(base.agg(F.count("*").alias("base")))  # one row each
+        .crossJoin(records.select("seq").distinct().agg(F.count("*").alias("records")))
+    )
+    n = stored(n, "counts")
     rows = None
     for bits in widths:
-        firsts = first_by_filter(entries, base_keys, bits=bits, batches=1)
-        n = (
-            new.agg(F.count("*").alias("new_records"))
-            .crossJoin(new.join(firsts, "seq", "left_anti").agg(F.count("*").alias("wrong")))  # one row each
-            .crossJoin(base.agg(F.count("*").alias("base")))
-            .crossJoin(total.agg(F.count("*").alias("records")))
-        )
-        # mean over i = 0 .. m-1 of 1 - (1 - 2^-bits)^(base + i), in closed form
+        # mean over i = 0 .. m-1 of 1 - (1 - 2^-bits)^(base + i), in closed form; for long fingerprints (base + (m - 1) / 2) / 2^bits, which the closed form cannot tell from 0
         p, m, b = 2.0**-bits, F.greatest(F.col("new_records"), F.lit(1)), F.col("base")
         log1p = float(np.log1p(-p))
-        mean = (F.exp(b * log1p) * -F.expm1(m * log1p)) / (m * p)
-        one = n.select(
-            F.lit(bits).alias("bits"), "records", "new_records", "wrong",
-            (F.col("wrong") / F.greatest(F.col("records"), F.lit(1))).alias("measured_rate"),
-            ((1 - mean) * F.col("new_records") / F.greatest(F.col("records"), F.lit(1))).alias("derived_rate"),
-        )
+        closed = 1 + F.exp(b * log1p) * F.expm1(m * log1p) / (m * p)
+        mean = F.when((b + m) * p < 1e-6, (b + (m - 1) / 2) * p).otherwise(closed)
+        one = n.select(F.lit(bits).alias("bits"), "records", "new_records", "base", (mean * F.col("new_records") / F.greatest(F.col("records"), F.lit(1))).alias("derived_rate"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
+
+
+def error_rates(entries: DataFrame, base_keys: DataFrame, *, widths: tuple[int, ...] = (24, 28, BITS)) -> DataFrame:
+    """(bits, records, new_records, wrong, measured_rate, derived_rate): for each fingerprint length the new records that the filter calls seen.
+
+    A filter never calls a seen record new, so these are all wrong answers.
+    """
+    new = stored(_exact_firsts(_records(entries), pick(base_keys, "key").where("key IS NOT NULL")), "new")
+    wrong = None
+    for bits in widths:
+        one = new.join(first_by_filter(entries, base_keys, bits=bits, batches=1), "seq", "left_anti").agg(F.lit(bits).alias("bits"), F.count("*").alias("wrong"))
+        wrong = one if wrong is None else wrong.unionByName(one)
+    rates = derived_rates(entries, base_keys, widths=widths).join(F.broadcast(wrong), "bits")  # one row per width
+    return rates.select("bits", "records", "new_records", "wrong", (F.col("wrong") / F.greatest(F.col("records"), F.lit(1))).alias("measured_rate"), "derived_rate")

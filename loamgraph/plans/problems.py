@@ -42,6 +42,10 @@ def p2_error_rates(s: SparkSession, d: str) -> DataFrame:
     return seen.error_rates(load(s, d, "sst_entries"), load(s, d, "base_keys"))
 
 
+def p2_derived_rates(s: SparkSession, d: str) -> DataFrame:
+    return seen.derived_rates(load(s, d, "sst_entries"), load(s, d, "base_keys")).withColumn("derived_rate", F.round(F.col("derived_rate") * 1e6, 3))
+
+
 def p2_seen_by_file(s: SparkSession, d: str) -> DataFrame:
     entries = load(s, d, "sst_entries")
     files = entries.where("key IS NOT NULL AND seq IS NOT NULL").groupBy("seq").agg(F.min("file_num").alias("file_num"))
@@ -90,6 +94,7 @@ QUERIES = {
     "p1_wide_edges": p1_wide_edges,
     "p2_found": p2_found,
     "p2_error_rates": p2_error_rates,
+    "p2_derived_rates": p2_derived_rates,
     "p2_seen_by_file": p2_seen_by_file,
     "p3_found": p3_found,
     "p3_orphans_by_month": p3_orphans_by_month,
@@ -158,6 +163,10 @@ ORACLES = {
     "p1_wide_vertices": _wide_sql("V", _NODE),
     "p1_wide_edges": _wide_sql("E", _EDGE),
     "p2_found": f"WITH {_SEEN} SELECT seq FROM found",
+    "p2_derived_rates": """WITH b AS (SELECT DISTINCT key FROM base_keys WHERE key IS NOT NULL), k AS (SELECT DISTINCT key FROM sst_entries WHERE key IS NOT NULL AND seq IS NOT NULL),
+        n AS (SELECT (SELECT count(DISTINCT seq) FROM sst_entries WHERE key IS NOT NULL AND seq IS NOT NULL) AS records, (SELECT count(*) FROM k WHERE key NOT IN (FROM b)) AS new_records, (SELECT count(*) FROM b) AS base)
+        SELECT w AS bits, records, new_records, base, round((SELECT sum(1 - exp((base + i) * -(2.0 ** -w + 2.0 ** (-2 * w) / 2))) FROM range(new_records) t(i)) / records * 1e6, 3) AS derived_rate
+        FROM n, (VALUES (24), (28), (62)) x(w)""",
     "p2_seen_by_file": f"""WITH {_SEEN}, files AS (SELECT seq, min(file_num) AS file_num FROM sst_entries WHERE key IS NOT NULL AND seq IS NOT NULL GROUP BY seq)
         SELECT file_num, count(*) AS records, count(found.seq) AS seen FROM files LEFT JOIN found ON files.seq = found.seq GROUP BY file_num""",
     "p3_found": f"WITH {_ORPHANS} SELECT DISTINCT edge_id, side FROM lost",

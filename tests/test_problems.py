@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import random
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -74,7 +75,7 @@ def test_filter_is_compact():
     assert len(quotient.build(fp, 37)) / len(fp) < 4  # 8 bytes for the plain fingerprints
 
 
-@pytest.mark.parametrize("bits", [6, 12, 44])
+@pytest.mark.parametrize("bits", [6, 12, 62])
 def test_seen_before(spark, bits):
     rng = random.Random(bits)
     keys = [bytes([rng.randrange(40)]) * rng.randrange(3) for _ in range(300)] + [None, b"", b"a\x00", b"a", b"x" * 100_000]
@@ -89,10 +90,39 @@ def test_seen_before(spark, bits):
                 want.add(i)
             known.add(k)
     e, b = spark.createDataFrame(rows, "seq bigint, key binary"), spark.createDataFrame(base, "key binary")
-    assert {r.seq for r in seen.seen_before(e, b, bits=bits, batches=3).collect()} == want
+    assert {r.seq for r in seen.seen_before(e, b, bits=bits, batches=3, exact=True).collect()} == want
     assert want <= {r.seq for r in seen.seen_before(e, b, bits=bits, exact=False).collect()}  # never the other way
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.integers(1, 58), st.lists(st.integers(0, (1 << 58) - 1), max_size=80))
+def test_packed_numbers(width, values):
+    x = np.array(values, np.uint64) & np.uint64((1 << width) - 1)
+    data = quotient._pack(x, width)
+    assert len(data) <= (len(x) * width + 63) // 64 * 8 + 8
+    at = np.random.default_rng(0).permutation(len(x))
+    assert quotient._values(np.frombuffer(data, "<u8"), width, at).tolist() == x[at].tolist()
+
+
+def test_lookup_in_a_full_shard_needs_little_memory():
+    rng = np.random.default_rng(3)
+    have = np.unique(rng.integers(0, 1 << 52, seen.SHARD, dtype=np.uint64))
+    tracemalloc.start()
+    blob = quotient.build(have, 52)
+    built = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    asked = np.concatenate([have[:5], have[:5] ^ np.uint64(1)])
+    assert quotient.contains(blob, asked).tolist() == np.isin(asked, have).tolist()
+    looked = tracemalloc.get_traced_memory()[1] - len(blob)
+    tracemalloc.stop()
+    assert built < 16 << 20 and looked < 6 << 20 and len(blob) < 6 * len(have)
+
+
+def test_billions_of_earlier_keys_stay_in_bounded_shards():
+    for earlier in (10**6, 10**9, 10**12):
+        assert earlier / (1 << seen.shard_bits(earlier + 10)) <= seen.SHARD
+
+
 def test_shards_follow_from_the_earlier_keys_too(spark, monkeypatch):
     monkeypatch.setattr(seen, "SHARD", 16)
     made = []
