@@ -20,10 +20,16 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
 
 
+def filled(c: Column) -> Column:
+    """Whether there is anything but Unicode white space; null for null."""
+    return c.rlike(r"(?U)\S")
+
+
 def to_int(c: Column) -> Column:
     """BIGINT, or null if the trimmed text is no whole number of 64 bits."""
     s = strip(c)
-    return F.when(s.rlike(INT_PATTERN), s.try_cast("bigint"))
+    # Most texts have nothing to trim and need one look.
+    return F.when(c.rlike(INT_PATTERN), c.try_cast("bigint")).when(s.rlike(INT_PATTERN), s.try_cast("bigint"))
 
 
 def to_float(c: Column) -> Column:

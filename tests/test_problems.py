@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loamgraph.functions import jsontext
-from loamgraph.operators import hotkeys, quotient, seen
+from loamgraph.operators import hotkeys, orphans, quotient, seen
 from loamgraph.operators import inline
 from loamgraph.operators.inline import LINKS, FlatTables, graph_elements, graph_tables
 from loamgraph.operators.orphans import References
@@ -164,6 +164,29 @@ def test_orphans(spark):
     assert n == len({(i, s) for i, a, b, _ in edges for s, x in (("source", a), ("target", b)) if x and x.strip()})
 
 
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, orphans.RANGE - 1), max_size=50) | st.just(set(range(0, orphans.RANGE, 3))))
+def test_squeezed_bitmaps(places):
+    bits = np.zeros(orphans.RANGE, np.uint8)
+    bits[list(places)] = 1
+    bits = np.packbits(bits, bitorder="little").tobytes()
+    data = orphans.squeeze(bits)
+    assert orphans.unsqueeze(data).tobytes() == bits and len(data) == min(len(bits), 2 * len(places))
+
+
+def test_orphans_of_many_lifetimes_and_a_hot_key(spark):
+    rng = random.Random(8)
+    at = lambda: T(2020, 1, 1) + dt.timedelta(hours=rng.randrange(3 * 365 * 24))
+    life = [(k, min(a, b), None if rng.random() < 0.2 else max(a, b)) for k in range(40) for a, b in [(at(), at()) for _ in range(rng.randrange(4))]]
+    edges = [(i, str(7 if rng.random() < 0.5 else rng.randrange(60)), str(rng.randrange(60)), at()) for i in range(3000)]
+    v, p = spark.createDataFrame(life, "id bigint, created_ts timestamp, removed_ts timestamp"), spark.createDataFrame([(55,)], "id bigint")
+    r = References(spark.createDataFrame(edges, "id bigint, source string, target string, ts timestamp"), v, p)
+    lives = lambda k, t: k == 55 or any(i == k and a <= t and (b is None or t < b) for i, a, b in life)
+    assert {(x.edge_id, x.side) for x in r.orphans().collect()} == {(i, s) for i, a, b, t in edges for s, k in (("source", a), ("target", b)) if not lives(int(k), t)}
+    parts = {x.key: x.parts for x in r.heavy().collect()}
+    assert parts[7] > 3 and len(parts) <= orphans.SPREAD * 4 and sum(parts.values()) <= 2 * orphans.SPREAD * 4
+
+
 # ---- 4: hot keys
 def test_hot(spark):
     rows = [(1, "outE", e, "l" if e % 2 else None, e, T(2024, 1, 1)) for e in range(600)] + [(v, "outE", v, "k", v, None) for v in range(2, 402)] + [(None, "outE", 5, None, 1, None), (3, None, 1, "a", 1, None), (9, "inE", None, "a", 1, None)]
