@@ -1,12 +1,12 @@
 """Entity-attribute-value rows into wide, typed tables.
 
 The current cells are partitioned by attribute into narrow tables (id, value) on
-shared storage.  Every narrow table is co-partitioned by id with the table of all
-entities, and the tables are combined by a balanced tree of outer joins: each leaf
-joins a few narrow tables to the entities, and leaves are joined in pairs.  A plain
-full outer join forgets its partitioning, so each level of such a tree would
-shuffle everything again; anchored on the entities every level keeps the
-partitioning by id, and each narrow row is shuffled once.
+shared storage, each in the same buckets of id as the table of all entities.  The tables
+are combined by a balanced tree of outer joins: each leaf joins some narrow tables to the
+entities, and each node above joins some nodes below.  All of them are bucketed alike, so
+a cell is shuffled to its bucket once and no join shuffles.  A plain full outer join forgets
+its partitioning; anchored on the entities every node keeps it.  Every node but the
+last is written, so a plan never has more than ``fan_in`` joins, however many attributes there are.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamgraph.functions.text import to_float, to_int
-from loamgraph.session import pick, stored
+from loamgraph.session import bucketed, pick, shuffle_parts
+
+#: Property rows for each bucket of entities, as far as there are no more buckets than shuffle partitions.
+BUCKET = 100_000
 
 #: The word for an element's kind in declarations, and the types known.
 KIND_OF = {"V": "node", "E": "edge"}
@@ -85,15 +88,23 @@ class WideTables:
     elsewhere.  Empty input gives empty tables.
     """
 
-    def __init__(self, props: DataFrame, attr_keys: DataFrame, *, fan_in: int = 4):
+    def __init__(self, props: DataFrame, attr_keys: DataFrame, *, fan_in: int = 8):
         self.attributes, self.fan_in = declared(attr_keys), fan_in
         spark = props.sparkSession
+        self.buckets = max(1, min(shuffle_parts(spark), -(-props.count() // BUCKET)))
         numbers = spark.createDataFrame([(a.elem, a.key, a.number) for a in self.attributes], "elem string, key string, attr int")
         cells = current_cells(props).join(F.broadcast(numbers), ["elem", "key"], "left")  # at most `most` rows
         # Rows without a declared key only name their entity.
-        cells = cells.select(F.coalesce("attr", F.lit(-1)).alias("attr"), "elem", "id", "val").hint("rebalance", "attr")
-        self.cells = stored(cells, "cells", "attr")
-        self.entities = {e: stored(self.cells.where(F.col("elem") == e).select("id").distinct(), f"entities_{e}") for e in KIND_OF}
+        cells = cells.where(F.col("elem").isin(*KIND_OF)).select(F.coalesce("attr", F.when(F.col("elem") == "V", -1).otherwise(-2)).alias("attr"), "id", "val")
+        self.cells = bucketed(cells.repartition(self.buckets, "id"), "cells", self.buckets, "id", "attr")
+        self._entities: dict[str, DataFrame] = {}
+
+    def entities(self, elem: str) -> DataFrame:
+        """(id) of every entity of the kind."""
+        if elem not in self._entities:
+            own = [a.number for a in self.attributes if a.elem == elem] + [-1 if elem == "V" else -2]
+            self._entities[elem] = bucketed(self.cells.where(F.col("attr").isin(own)).select("id").distinct(), f"entities_{elem}", self.buckets, "id")
+        return self._entities[elem]
 
     def narrow(self, a: Attribute) -> DataFrame:
         """(id, v<n>, u<n>): the typed value, or the text that does not suit the type."""
@@ -102,22 +113,28 @@ class WideTables:
         bad = F.when(value.isNull(), F.col("val")) if a.type != "string" else F.lit(None).cast("string")
         return rows.select("id", value.alias(f"v{a.number}"), bad.alias(f"u{a.number}"))
 
+    def _tree(self, elem: str) -> DataFrame:
+        """The entities with the values of all attributes; every node of the tree but this one is written."""
+        level = [self.narrow(a) for a in self.attributes if a.elem == elem]
+        how, root = "left", self.entities(elem)
+        while True:
+            nodes = []
+            for i in range(0, len(level), self.fan_in):
+                part = level[i : i + self.fan_in]
+                node = root if how == "left" else part.pop(0)
+                for x in part:  # above the leaves every node has all entities, so an inner join loses none
+                    node = node.join(x, "id", how)
+                nodes.append(node)
+            if len(nodes) <= 1:
+                return nodes[0] if nodes else root
+            level, how = [bucketed(x, f"node{i}", self.buckets, "id") for i, x in enumerate(nodes)], "inner"
+
     def wide(self, elem: str) -> DataFrame:
         """One row per entity of the kind."""
         own = [a for a in self.attributes if a.elem == elem]
-        spine = self.entities[elem]
-        level = []
-        for i in range(0, len(own), self.fan_in):
-            node = spine
-            for a in own[i : i + self.fan_in]:
-                node = node.join(self.narrow(a), "id", "left")
-            level.append(node)
-        while len(level) > 1:  # every node has all entities, so an inner join loses none
-            level = [level[i].join(level[i + 1], "id") if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        table = level[0] if level else spine
         unfit = [F.when(F.col(f"u{a.number}").isNotNull(), F.struct(F.lit(a.key).alias("key"), F.col(f"u{a.number}").alias("val"))) for a in own if a.type != "string"]
         bad = F.filter(F.array(*unfit), lambda x: x.isNotNull()) if unfit else F.expr("CAST(array() AS array<struct<key:string,val:string>>)")
-        return table.select("id", *(F.col(f"v{a.number}").alias(a.column) for a in own), bad.alias("unfit"))
+        return self._tree(elem).select("id", *(F.col(f"v{a.number}").alias(a.column) for a in own), bad.alias("unfit"))
 
     def unfit(self) -> DataFrame:
         """(elem, id, key, val) of every current value that does not suit its declared type."""

@@ -52,12 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-#: Folders of tables written by this process.
+#: Folders of tables written by this process, and names of those the catalog knows.
 _written: list[str] = []
+_named: list[str] = []
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables written so far; no result that is still to be read may rest on them."""
+    while _named:
+        spark.sql(f"DROP TABLE IF EXISTS {_named.pop()}")
     jvm = spark.sparkContext._jvm
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
@@ -89,6 +92,22 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, n: int, by: str, *partition_by: str) -> DataFrame:
+    """``stored``, in ``n`` buckets of column ``by``: tables with equally many buckets are joined by it without a shuffle.
+
+    Only a table of the catalog can say so; it lies below the shared folder and goes with ``release``.
+    """
+    spark = df.sparkSession
+    home, table = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}", f"loam_{uuid.uuid4().hex}"
+    _written.append(home)
+    _named.append(table)
+    writer = df.write.mode("errorifexists").format("parquet").option("path", f"{home}/{name}").bucketBy(n, by).sortBy(by)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """One table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -57,6 +57,30 @@ def test_wide_empty(spark):
         WideTables(p.drop("seq"), k)
 
 
+def test_many_attributes_in_small_plans(spark):
+    n = 300
+    rows = spark.range(n * 20).selectExpr("'V' AS elem", "id % 20 AS id", f"concat('k', id div 20) AS key", "IF(id % 7 = 0, 'x', cast(id AS string)) AS val", "id AS seq")
+    keys = spark.createDataFrame([("node", f"k{i}", "int" if i % 2 else "string") for i in range(n)], KEYS)
+    t = WideTables(rows, keys, fan_in=20)
+    wide = t.wide("V")
+    plan = wide._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert plan.count("Join") <= 20 and len(wide.columns) == n + 2
+    got = {r["id"]: r for r in wide.collect()}
+    assert all((got[i % 20][f"k{i // 20}"] is None) == (i % 7 == 0 and i // 20 % 2 == 1) for i in range(n * 20))
+    assert sum(len(r["unfit"]) for r in got.values()) == t.unfit().count() == sum(i % 7 == 0 and i // 20 % 2 == 1 for i in range(n * 20))
+
+
+def test_joins_of_narrow_tables_do_not_shuffle(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = WideTables(spark.read.parquet("/root/testdata/sf0.01/props.parquet"), spark.read.parquet("/root/testdata/sf0.01/attr_keys.parquet"))
+        plan = t.wide("V")._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 # ---- 2: seen keys
 @settings(max_examples=150, deadline=None)
 @given(st.sets(st.integers(0, (1 << 20) - 1), max_size=300), st.sets(st.integers(0, (1 << 20) - 1), max_size=300))
