@@ -1,22 +1,26 @@
 """Passages of evaluation items inside documents.
 
 Texts are compared in windows of as many words as a passage must have.  A window's
-fingerprint is a 64-bit SimHash of its five-word shingles.  The windows of the items form a
+fingerprint is a 64-bit SimHash of its shingles.  The windows of the items form a
 multi-index: the fingerprint is split into radius + 1 blocks, and two fingerprints
 within the radius agree in at least one block, so looking up each block finds them all.
-Windows found are compared word by word: equal windows have distance 0, so no verbatim passage is missed.
+Candidates are verified by the weighted similarity of their shingles: equal windows have
+distance 0 and similarity 1, so no verbatim passage is missed, and a passage counts as
+verbatim if the words of such a pair are the same too.
 
 Windows that are alike but not equal have fingerprints too far apart for that.  They are
 found by shared shingles: whatever is similar to a window shares one of its heaviest shingles
-that together weigh more than the part that may differ (at most two), and pairs that
-share one are compared by the weighted similarity of all their shingles.
+that together weigh more than the part that may differ, and pairs that share one are
+verified in the same way.
 
-The documents are read once and never shuffled; what leaves a task are pairs found.  The
-items' index is sent to the tasks in blocks of a bounded number of windows, one pass each.
+Documents are read once and never shuffled; what leaves a task are pairs found.  The items'
+index is sent to the tasks in blocks of a bounded number of windows, one pass each; if there
+are several, the documents' words are stored once for all passes.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from loamgraph.session import pick, stored
 
 WINDOW, SHINGLE, RADIUS = 13, 5, 2
+#: Parameters that find passages of 20 words with one to three of them replaced, added or dropped.  Five-word shingles at a similarity of 0.8 cannot: a changed word takes five shingles.
+EDITED = {"window": 16, "shingle": 2, "least": 0.45}
 #: Windows of items in one block of the index, each of about 100 bytes.
 BLOCK = 400_000
 #: What rounding may take from a similarity, and pairs of windows compared at once.
@@ -105,11 +111,11 @@ def simhash(shingle: np.ndarray, per: int) -> np.ndarray:
 class ItemIndex:
     """Multi-index over the windows of some items."""
 
-    def __init__(self, items: list[tuple[int, str]], window: int, shingle: int, radius: int, df: dict[int, int] | None = None, n_items: int | None = None):
-        """``df`` and ``n_items`` are those of all items if these are only some: shingles that several items have, and the number of items."""
+    def __init__(self, items: list[tuple[int, str | list[str]]], window: int, shingle: int, radius: int, df: dict[int, int] | None = None, n_items: int | None = None):
+        """Items are texts or their words.  ``df`` and ``n_items`` are those of all items if these are only some: shingles that several items have, and the number of items."""
         self.window, self.k, self.radius = window, shingle, radius
         self.per = window - shingle + 1
-        words = [(i, words_of(t)) for i, t in items]
+        words = [(i, words_of(t) if isinstance(t, str) else t) for i, t in items]
         self.number = {w: n for n, w in enumerate(sorted({w for _, ws in words for w in ws}))}
         # A word that no item has is one and the same unknown word.
         self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in sorted(self.number)] + [xxhash.xxh64_intdigest("\x00")], np.uint64)
@@ -204,21 +210,31 @@ class ItemIndex:
             self.heavy[least] = key[by], row[by], there, weight
         return self.heavy[least]
 
-    def similar(self, sh: np.ndarray, words: list[str], ids: np.ndarray, least: float, done: np.ndarray) -> Iterator[tuple[int, float]]:
-        """(window of an item, similarity) of windows that are at least as similar as ``least``, without the items of ``done``."""
-        key, window, there, weight = self._heavy(least)
+    def verified(self, x: np.ndarray, w: np.ndarray, least: float) -> Iterator[tuple[int, float]]:
+        """(place in the pairs, similarity) of the pairs of windows (shingles x, window w of an item) that are at least as similar as ``least``."""
+        y = self.parts[w]
+        same = (x == y).all(axis=1)
+        yield from ((i, 1.0) for i in np.flatnonzero(same).tolist())
+        other = np.flatnonzero(~same)
+        for lo in range(0, len(other), PAIRS):
+            at = other[lo : lo + PAIRS]
+            a, b = x[at], y[at]
+            equal = a[:, :, None] == b[:, None, :]
+            wx, wy = self.weights(a), self.weights(b)
+            # The shared weight is at most this; it is less only where shingles repeat.
+            both = np.minimum((wx * equal.any(axis=2)).sum(axis=1), (wy * equal.any(axis=1)).sum(axis=1))
+            for i in np.flatnonzero(both >= (least - EPS) * (wx.sum(axis=1) + wy.sum(axis=1) - both)).tolist():
+                s = self.similarity(a[i], b[i])
+                if s >= least - EPS:
+                    yield int(at[i]), s
+
+    def similar(self, sh: np.ndarray, least: float, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (place, window of an item) that share a shingle without which they are less similar than ``least``, without the items of ``done``."""
+        key, window, there, _ = self._heavy(least)
         at = np.flatnonzero(there[(sh & np.uint64(there.size - 1)).astype(np.int64)])
         first, last = np.searchsorted(key, sh[at], "left"), np.searchsorted(key, sh[at], "right")
         some = last > first
         at, first, last = at[some], first[some], last[some]
-        if not len(at):
-            return
-        # Words that none of these items has, but others may: their shingles weigh what they weigh among all items.
-        own = self.hashes[ids].copy()
-        for i in np.flatnonzero(ids == len(self.number)).tolist():
-            own[i] = xxhash.xxh64_intdigest(words[i])
-        sh = shingles(own, self.k)
-        view = np.lib.stride_tricks.sliding_window_view(sh, self.per)
         shift = np.arange(self.per)
         step = max(1, PAIRS // self.per)
         while len(at):  # the windows of one shingle, one after the other: memory stays bounded
@@ -226,84 +242,105 @@ class ItemIndex:
                 w = window[first[lo : lo + step]]
                 a = at[lo : lo + step, None] - shift[None, :]
                 w, a = np.repeat(w, self.per), a.ravel()
-                keep = (a >= 0) & (a < len(view)) & ~np.isin(self.owners[w], done)
-                w, a = w[keep], a[keep]
-                if not len(a):
-                    continue
-                x, y = view[a], self.parts[w]
-                equal = x[:, :, None] == y[:, None, :]
-                wx, wy = self.weights(x), weight[w]
-                # The shared weight is at most this; it is less only where shingles repeat.
-                both = np.minimum((wx * equal.any(axis=2)).sum(axis=1), (wy * equal.any(axis=1)).sum(axis=1))
-                for i in np.flatnonzero(both >= (least - EPS) * (wx.sum(axis=1) + wy.sum(axis=1) - both)).tolist():
-                    s = self.similarity(x[i], y[i])
-                    if s >= least - EPS:
-                        yield int(w[i]), s
+                keep = (a >= 0) & (a <= len(sh) - self.per) & ~np.isin(self.owners[w], done)
+                if keep.any():
+                    yield a[keep], w[keep]
             first = first + 1
             go = first < last
             at, first, last = at[go], first[go], last[go]
 
-    def scan(self, text: str | None, least: float | None) -> list[tuple[int, bool, float]]:
-        """(item, verbatim, similarity) of the windows of one text: each item once, with its best; verbatim ones only if ``least`` is None."""
-        words = words_of(text)
+    def scan(self, words: list[str], least: float) -> list[tuple[int, bool, float]]:
+        """(item, verbatim, similarity) of the windows of one text that are at least so similar to one of an item: each item once, with its best."""
         if len(words) < self.window or not len(self.prints):
             return []
         get, other = self.number.get, len(self.number)
         ids = np.fromiter((get(w, other) for w in words), np.int32, len(words))
         sh = shingles(self.hashes[ids], self.k)
+        runs, view = (np.lib.stride_tricks.sliding_window_view(v, n) for v, n in ((ids, self.window), (sh, self.per)))
         best: dict[int, tuple[bool, float]] = {}
+
+        def take(at: np.ndarray, window: np.ndarray) -> None:
+            for i, s in self.verified(view[at], window, least):
+                item = int(self.owners[window[i]])
+                found = (s >= 1 - EPS and bool((runs[at[i]] == self.runs[window[i]]).all()), s)
+                if found > best.get(item, (False, 0.0)):
+                    best[item] = found
+
         at, window = self.near(simhash(sh, self.per))
         if len(at):
-            same = (np.lib.stride_tricks.sliding_window_view(ids, self.window)[at] == self.runs[window]).all(axis=1)
-            for item in np.unique(self.owners[window[same]]).tolist():
-                best[item] = (True, 1.0)
-        if least is not None:
-            for w, s in self.similar(sh, words, ids, least, np.array(list(best), np.int64)):
-                item = int(self.owners[w])
-                if s > best.get(item, (False, 0.0))[1]:
-                    best[item] = (False, s)
+            take(at, window)
+        if least < 1:
+            done = np.array([i for i, (v, _) in best.items() if v], np.int64)
+            key, _, there, _ = self._heavy(least)
+            if there[(sh & np.uint64(there.size - 1)).astype(np.int64)].any():
+                # Words that none of these items has, but others may: their shingles weigh what they weigh among all items.
+                own = self.hashes[ids].copy()
+                for i in np.flatnonzero(ids == other).tolist():
+                    own[i] = xxhash.xxh64_intdigest(words[i])
+                sh = shingles(own, self.k)
+                view = np.lib.stride_tricks.sliding_window_view(sh, self.per)
+                for at, window in self.similar(sh, least, done):
+                    take(at, window)
         return [(i, v, s) for i, (v, s) in best.items()]
 
 
-def _frequencies(items: DataFrame, shingle: int) -> dict[int, int]:
+def _frequencies(pieces: DataFrame, shingle: int) -> dict[int, int]:
     """Number of items of each shingle that several items have; one that a single item has weighs the same as an unknown one."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for text in pdf["prompt"]:
-                own = np.array([xxhash.xxh64_intdigest(w) for w in words_of(text)], np.uint64)
-                yield pd.DataFrame({"h": np.unique(shingles(own, shingle)).view(np.int64)})
+            for item, text in zip(pdf["item_id"], pdf["words"]):
+                own = np.array([xxhash.xxh64_intdigest(w) for w in text.split(" ")], np.uint64)
+                yield pd.DataFrame({"item_id": item, "h": np.unique(shingles(own, shingle)).view(np.int64)})
 
-    rows = items.select("prompt").mapInPandas(run, "h bigint").groupBy("h").count().where("count > 1").toPandas()
+    rows = pieces.select("item_id", "words").mapInPandas(run, "item_id bigint, h bigint").distinct().groupBy("h").count().where("count > 1").toPandas()
     return dict(zip(rows["h"].to_numpy(np.int64).view(np.uint64).tolist(), rows["count"].tolist()))
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, radius: int = RADIUS, least: float | None = 0.8, block: int = BLOCK) -> DataFrame:
+def _pieces(items: DataFrame, window: int, most: int) -> DataFrame:
+    """(item_id, piece, words, windows): the items' words, cut into overlapping pieces of at most ``most`` windows, as a stored table."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for item, text in zip(pdf["item_id"].to_list(), pdf["prompt"].to_list()):
+                ws = words_of(text)
+                n = len(ws) - window + 1
+                for piece, a in enumerate(range(0, n, most)):
+                    yield pd.DataFrame({"item_id": [item], "piece": [piece], "words": [" ".join(ws[a : min(a + most, n) + window - 1])], "windows": [min(most, n - a)]})
+
+    return stored(items.mapInPandas(run, "item_id bigint, piece bigint, words string, windows bigint").distinct(), "items")
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, radius: int = RADIUS, least: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(item_id, doc_id, verbatim, similarity) of items and documents that share a passage.
 
-    documents(doc_id, text), items(item_id, prompt).  ``verbatim``: at least ``window``
-    consecutive words are the same; else the closest pair of windows has the given weighted
-    similarity of at least ``least`` (None: verbatim ones only), and no such pair is missed.
-    Items of fewer words have no passage; null texts and ids give no rows; repeated rows and ids
-    are judged together.
+    documents(doc_id, text), items(item_id, prompt).  Of each item and document it gives the closest
+    pair of windows, if their weighted similarity is at least ``least``; no such pair is missed.
+    ``verbatim``: ``window`` consecutive words are the same (the similarity is 1; with ``least`` = 1 only
+    windows of the same shingles are looked for).  Items of fewer words have no passage; null texts and
+    ids give no rows; repeated rows and ids are judged together.  A block of the index never has
+    more than ``block`` windows: items are cut into overlapping pieces that fit.
     """
     docs = pick(documents, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    wanted = pick(items, "item_id", "prompt").where("item_id IS NOT NULL AND prompt IS NOT NULL").distinct()
-    # Items are given to blocks of the index in order of their id, by the number of windows before them.
-    sized = wanted.withColumn("w", F.greatest(F.size(F.split("prompt", r"\s+")), F.lit(1)))
-    sized = stored(sized, "items")
-    total, n_items = sized.agg(F.coalesce(F.sum("w"), F.lit(0)), F.count("*")).first()
-    blocks = max(1, -(-int(total) // block))
-    df = _frequencies(sized, shingle) if blocks > 1 and least is not None else None
+    pieces = _pieces(pick(items, "item_id", "prompt").where("item_id IS NOT NULL AND prompt IS NOT NULL").distinct(), window, max(1, block // 4))
+    total, n_items = pieces.agg(F.coalesce(F.sum("windows"), F.lit(0)), F.count_distinct("item_id")).first()
+    blocks = max(1, math.ceil(int(total) / block))
+    part_of = lambda n: F.pmod(F.xxhash64("item_id", "piece"), F.lit(n))
+    while (pieces.groupBy(part_of(blocks)).agg(F.sum("windows").alias("n")).agg(F.max("n")).first()[0] or 0) > block:
+        blocks *= 2  # until the largest fits
+    df = _frequencies(pieces, shingle) if blocks > 1 and least < 1 else None
+    if blocks > 1:
+        docs = stored(docs.mapInPandas(lambda it: (pd.DataFrame({"doc_id": pdf["doc_id"], "text": [" ".join(words_of(t)) for t in pdf["text"]]}) for pdf in it), "doc_id bigint, text string"), "words")
+    split = words_of if blocks == 1 else str.split
     found = None
     for b in range(blocks):
-        part = sized.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id", "prompt").select("item_id", "prompt").collect()  # about `block` words
-        index: Any = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.prompt) for r in part], window, shingle, radius, df, n_items))
+        part = pieces.where(part_of(blocks) == b).orderBy("item_id", "piece").select("item_id", "words").collect()  # at most `block` windows
+        index: Any = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r.item_id, r.words.split(" ")) for r in part], window, shingle, radius, df, n_items))
 
         def run(it: Iterator[pd.DataFrame], index: Any = index) -> Iterator[pd.DataFrame]:
             own = index.value
             for pdf in it:
-                rows = [(item, doc, v, s) for doc, text in zip(pdf["doc_id"], pdf["text"]) for item, v, s in own.scan(text, least)]
+                rows = [(item, doc, v, s) for doc, text in zip(pdf["doc_id"], pdf["text"]) for item, v, s in own.scan(split(text), least)]
                 yield pd.DataFrame(rows, columns=["item_id", "doc_id", "verbatim", "similarity"])
 
         got = docs.mapInPandas(run, "item_id bigint, doc_id bigint, verbatim boolean, similarity double")

@@ -23,7 +23,7 @@ def _leaks(s: SparkSession, d: str, **kw) -> DataFrame:
 
 
 def p7_found(s: SparkSession, d: str) -> DataFrame:
-    return _leaks(s, d, least=None).where("verbatim").select("item_id", "doc_id")
+    return _leaks(s, d, least=1.0).where("verbatim").select("item_id", "doc_id")
 
 
 def p7_near(s: SparkSession, d: str) -> DataFrame:
@@ -56,5 +56,23 @@ QUERIES = {
     "p8_levels": p8_levels,
     "p8_profile": p8_profile,
 }
-#: SQL can express none of them; tests/llm holds them against brute force, round trips and held-out accuracy.
-ORACLES: dict[str, str] = {}
+
+#: What the words' compatibility form needs in DuckDB, which has the canonical form only: full-width characters, and the ligature of f and i.
+_WIDE, _NARROW = "".join(chr(c + 0xFEE0) for c in range(33, 127)), "".join(map(chr, range(33, 127))).replace("'", "''")
+
+
+def _words_sql(text: str) -> str:
+    plain = f"nfc_normalize(replace(translate({text}, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'))"
+    return rf"regexp_extract_all(lower(regexp_replace({plain}, '\p{{Cf}}', '', 'g')), '[\p{{L}}\p{{Nd}}]+')"
+
+
+def _windows_sql(id_: str, text: str, table: str) -> str:
+    return f"""SELECT DISTINCT {id_}, array_to_string(list_slice(ws, i, i + 12), ' ') AS passage
+        FROM (SELECT {id_}, ws, unnest(range(1, len(ws) - 11)) AS i FROM (SELECT {id_}, {_words_sql(text)} AS ws FROM {table} WHERE {text} IS NOT NULL AND {id_} IS NOT NULL))"""
+
+
+#: SQL where it can express a query; tests/llm hold the others against brute force, round trips and held-out accuracy.
+ORACLES: dict[str, str] = {
+    "p7_found": f"""WITH i AS ({_windows_sql("item_id", "prompt", "eval_items")}), d AS ({_windows_sql("doc_id", "text", "documents")})
+        SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (passage)""",
+}

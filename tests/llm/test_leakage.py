@@ -82,6 +82,53 @@ def test_near_passages_and_edge_cases(spark):
     assert L.find_leaks(d.limit(0), e).count() == 0 and L.find_leaks(d, e.limit(0)).count() == 0
 
 
+def edited(words, k, rng):
+    """The words with k of them replaced, added or dropped."""
+    words = list(words)
+    for at in sorted(rng.choice(len(words), k, replace=False).tolist(), reverse=True):
+        kind = rng.integers(3)
+        if kind == 2:
+            del words[at]
+        else:
+            words[at : at + 1 - kind] = [f"zz{rng.integers(999)}"]
+    return words
+
+
+def test_planted_edits(spark, small):
+    rng = np.random.default_rng(6)
+    items = [tuple(r) for r in spark.read.parquet(f"{small}/eval_items.parquet").select("item_id", "prompt").orderBy("item_id").limit(60).collect()]
+    texts = [L.words_of(r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("text").where("text IS NOT NULL").orderBy("doc_id").limit(40).collect()]
+    clean = [t for t in texts if not {i for i, _, _ in L.ItemIndex(items, 13, 5, 2).scan(t, 1.0)}]
+    index = L.ItemIndex(items, L.EDITED["window"], L.EDITED["shingle"], 2)
+    for k in (1, 2, 3):
+        hits = []
+        for item, prompt in items:
+            words, host = L.words_of(prompt), clean[rng.integers(len(clean))][:150]
+            at, cut = rng.integers(len(words) - 19), rng.integers(len(host) + 1)
+            text = host[:cut] + edited(words[at : at + 20], k, rng) + host[cut:]
+            hits.append(item in {i for i, _, _ in index.scan(text, L.EDITED["least"])})
+        assert np.mean(hits) >= 0.85
+    others = sum(len(index.scan(t, L.EDITED["least"])) for t in clean)
+    assert others <= 0.1 * len(clean)
+    d = spark.createDataFrame([(1, " ".join(edited(L.words_of(items[0][1])[:20], 2, rng)))], "doc_id bigint, text string")
+    e = spark.createDataFrame(items, "item_id bigint, prompt string")
+    assert items[0][0] in {r.item_id for r in L.find_leaks(d, e, **L.EDITED).collect()}
+
+
+def test_blocks_hold_no_more_than_they_may(spark, monkeypatch):
+    sizes = []
+    make = L.ItemIndex.__init__
+    monkeypatch.setattr(L.ItemIndex, "__init__", lambda self, *a, **kw: make(self, *a, **kw) or sizes.append(len(self.prints)))
+    long = ",".join(str(i % 97) + "x" * (i % 5) for i in range(900))  # no blank in it
+    items = [(1, long), (2, "\t".join(f"w{i}" for i in range(40))), *((k, " ".join(f"v{k}a{i}" for i in range(20))) for k in range(3, 30))]
+    docs = [(1, "start " + long.replace(",", " ")[1500:1700] + " end"), (2, " ".join(f"w{i}" for i in range(20, 40))), (3, "nothing of all this " * 20)]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, prompt string")
+    for block in (1000, 400):
+        sizes.clear()
+        assert {(r.item_id, r.doc_id) for r in L.find_leaks(d, e, block=block, least=1.0).where("verbatim").collect()} == {(1, 1), (2, 2)}
+        assert max(sizes) <= block and sum(sizes) == 888 + 28 + 27 * 8
+
+
 def test_near_pairs_equal_brute_force(spark):
     rng = np.random.default_rng(4)
     common = [f"c{i}" for i in range(6)]
