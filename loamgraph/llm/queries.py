@@ -43,8 +43,8 @@ def p8_levels(s: SparkSession, d: str) -> DataFrame:
 
 
 def p8_profile(s: SparkSession, d: str) -> DataFrame:
-    """Documents and words of prose by source and band."""
-    return _levels(s, d, keep=["source"]).groupBy("source", "band").agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.avg("score").alias("mean_score"))
+    """Documents and words of prose by source and band, or the reason why there is none."""
+    return _levels(s, d, keep=["source"]).groupBy("source", "band", "reason").agg(F.count("*").alias("documents"), F.sum("words").alias("words"), F.avg("score").alias("mean_score"))
 
 
 QUERIES = {
