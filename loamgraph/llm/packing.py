@@ -5,7 +5,7 @@ items are spread by hash over groups of a fixed mean size, and each group is pac
 bounded-space best fit, that is, with a fixed number of open containers kept in a bitset
 keyed by free space.  When no open container has room, the fullest is closed and a new one opened.
 Containers that are still open when a group ends are handed on as single items to a
-second round over many groups at once, so the loss at the ends does not add up.
+second round of the same kind over many groups at once, so the loss at the ends does not add up.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgraph.session import pick, stored
@@ -148,7 +148,7 @@ def _pack(items: DataFrame, capacity: int, most: int, groups: int, fan_in: int)
 
     def second(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["g", "bin"]).reset_index(drop=True)
-        where, offset, _ = fill(pdf["load"].to_numpy(np.int64), capacity, max(most, len(pdf)))
+        where, offset, _ = fill(pdf["load"].to_numpy(np.int64), capacity, most)
         return pd.DataFrame({"g": pdf["g"], "bin": pdf["bin"], "to": where, "shift": offset})
 
     placed = stored(items.groupBy("g").applyInPandas(first, "doc_id bigint, piece bigint, g bigint, bin bigint, start bigint, tokens bigint, open boolean"), "placed")
@@ -160,6 +160,25 @@ def _pack(items: DataFrame, capacity: int, most: int, groups: int, fan_in: int)
     return joined.select("doc_id", "piece", name.alias("container"), (F.col("start") + F.coalesce("shift", F.lit(0))).alias("start"), "tokens")
 
 
+def violations(placed: DataFrame, sizes: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
+    """One row of counts: documents with tokens and those placed, both without repeats; pieces; and what must be 0.
+
+    ``sizes`` is (doc_id, tokens) of the documents.  Wrong are: ``lost`` or ``added`` tokens of a document, containers that are
+    ``overfull``, pieces that ``overlap`` or leave a ``gap`` in their container, and ``cut`` documents that would have fitted.
+    """
+    need = sizes.where("tokens > 0").groupBy("doc_id").agg(F.sum("tokens").alias("need"), F.max("tokens").alias("largest"))
+    have = placed.groupBy("doc_id").agg(F.sum("tokens").alias("have"), F.count("*").alias("pieces"), F.max("piece").alias("last"))
+    each = need.join(have, need["doc_id"].eqNullSafe(have["doc_id"]), "full")
+    short, over = F.coalesce("need", F.lit(0)) > F.coalesce("have", F.lit(0)), F.coalesce("need", F.lit(0)) < F.coalesce("have", F.lit(0))
+    docs = each.agg(F.count("need").alias("documents"), F.count("have").alias("placed"), F.coalesce(F.sum("pieces"), F.lit(0)).alias("pieces"), F.count_if(short).alias("lost"), F.count_if(over).alias("added"), F.count_if((F.col("last") > 0) & (F.col("largest") <= capacity)).alias("cut"))
+    # Pieces of one container lie end to end exactly if, in their order, each begins where the one before ends; containers are small.
+    w = Window.partitionBy("container").orderBy("start")
+    ends = placed.select("container", "start", "tokens", F.coalesce(F.lag(F.col("start") + F.col("tokens")).over(w), F.lit(0)).alias("before"))
+    boxes = ends.groupBy("container").agg(F.sum("tokens").alias("n"), F.count_if(F.col("start") < F.col("before")).alias("o"), F.count_if(F.col("start") > F.col("before")).alias("g"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return docs.crossJoin(boxes.agg(F.count_if(F.col("n") > capacity).alias("overfull"), zero("o").alias("overlap"), zero("g").alias("gap")))  # one row each
+
+
 def filling(placed: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """(items, tokens, fill, containers): how many containers hold so many items, and how full they are."""
     each = placed.groupBy("container").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamgraph.llm import leakage, packing
 from loamgraph.llm.reading import ReadingLevels
-from loamgraph.session import load
+from loamgraph.session import load, stored
 
 
 def p6_containers(s: SparkSession, d: str) -> DataFrame:
@@ -18,6 +18,13 @@ def p6_filling(s: SparkSession, d: str) -> DataFrame:
     return packing.filling(packing.pack(load(s, d, "documents")))
 
 
+def p6_violations(s: SparkSession, d: str) -> DataFrame:
+    """What is placed, and the number of breaches of each rule of packing."""
+    docs = load(s, d, "documents")
+    sizes = stored(packing.token_counts(docs), "sizes")
+    return packing.violations(stored(packing.pack(docs), "placed"), sizes).drop("pieces")
+
+
 def _leaks(s: SparkSession, d: str, **kw) -> DataFrame:
     return leakage.find_leaks(load(s, d, "documents"), load(s, d, "eval_items"), **kw)
 
@@ -50,6 +57,7 @@ def p8_profile(s: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p6_containers": p6_containers,
     "p6_filling": p6_filling,
+    "p6_violations": p6_violations,
     "p7_found": p7_found,
     "p7_near": p7_near,
     "p8_found": p8_found,
@@ -73,6 +81,8 @@ def _windows_sql(id_: str, text: str, table: str) -> str:
 
 #: SQL where it can express a query; tests/llm hold the others against brute force, round trips and held-out accuracy.
 ORACLES: dict[str, str] = {
+    "p6_violations": """SELECT count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) AS placed, 0::BIGINT AS lost, 0::BIGINT AS added, 0::BIGINT AS cut,
+        0::BIGINT AS overfull, 0::BIGINT AS overlap, 0::BIGINT AS gap FROM documents WHERE length(text) > 0""",
     "p7_found": f"""WITH i AS ({_windows_sql("item_id", "prompt", "eval_items")}), d AS ({_windows_sql("doc_id", "text", "documents")})
         SELECT DISTINCT item_id, doc_id FROM i JOIN d USING (passage)""",
 }

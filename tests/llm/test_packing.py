@@ -69,6 +69,18 @@ def test_whole_pipeline(spark, small):
     assert sorted(map(tuple, again)) == sorted(map(tuple, P.pack(docs).collect()))
 
 
+def test_violations_are_seen(spark):
+    sizes = spark.createDataFrame([(1, 5), (2, 10), (3, 12), (None, 4), (4, 0)], "doc_id bigint, tokens bigint")
+    good = [(1, 0, "a", 0, 5), (2, 0, "b", 0, 10), (3, 0, "c", 0, 10), (3, 1, "a", 5, 2), (None, 0, "d", 0, 4)]
+    table = lambda rows: spark.createDataFrame(rows, "doc_id bigint, piece bigint, container string, start bigint, tokens bigint")
+    names = ("lost", "added", "cut", "overfull", "overlap", "gap")
+    broken = {"lost": good[1:], "added": [*good, (9, 0, "e", 0, 1)], "cut": [(1, 0, "a", 0, 3), (1, 1, "e", 0, 2), *good[1:3], (3, 1, "a", 3, 2), good[4]], "overfull": [*good[:4], (None, 0, "b", 10, 4)], "overlap": [*good[:3], (3, 1, "a", 4, 2), good[4]], "gap": [*good[:4], (None, 0, "d", 1, 4)]}
+    assert all(P.violations(table(good), sizes, capacity=10).first()[n] == 0 for n in names)
+    for name, rows in broken.items():
+        assert P.violations(table(rows), sizes, capacity=10).first()[name] > 0
+    assert tuple(P.violations(table([]), sizes.limit(0)).first()) == (0,) * 9
+
+
 def test_many_groups_lose_little(spark):
     rng = np.random.default_rng(3)
     sizes = [(int(i), int(n)) for i, n in enumerate(rng.integers(0, 900, 6000))]
