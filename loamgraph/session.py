@@ -75,6 +75,12 @@ def _at_end() -> None:
             shutil.rmtree(re.sub(r"^file:/*", "/", home), ignore_errors=True)
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A new name below the shared folder; what is written there goes with ``release``."""
+    _written.append(f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write ``df`` below the shared folder and read it back.
 
@@ -82,9 +88,7 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     The schema is kept as given, so an empty result reads back as an empty table.
     """
     spark = df.sparkSession
-    home = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}"
-    path = f"{home}/{name}"
-    _written.append(home)
+    path = f"{own_folder(spark)}/{name}"
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -98,8 +102,7 @@ def bucketed(df: DataFrame, name: str, n: int, by: str, *partition_by: str) -> D
     Only a table of the catalog can say so; it lies below the shared folder and goes with ``release``.
     """
     spark = df.sparkSession
-    home, table = f"{shared_dir(spark)}/loam-{uuid.uuid4().hex}", f"loam_{uuid.uuid4().hex}"
-    _written.append(home)
+    home, table = own_folder(spark), f"loam_{uuid.uuid4().hex}"
     _named.append(table)
     writer = df.write.mode("errorifexists").format("parquet").option("path", f"{home}/{name}").bucketBy(n, by).sortBy(by)
     if partition_by:

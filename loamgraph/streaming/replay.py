@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,11 @@ def streaming_updates(log: DataFrame) -> DataFrame:
         old: Any = state.get if state.exists else None
         top = old
         for pdf in batches:
-            for seq, op, v in pdf[["seq", "op", "v"]].itertuples(index=False):
-                if top is None or seq > top[0]:
-                    top = (int(seq), op, None if pd.isna(v) else v)
+            if len(pdf):
+                at = int(pdf["seq"].to_numpy(np.int64).argmax())
+                if top is None or pdf["seq"].iat[at] > top[0]:
+                    v = pdf["v"].iat[at]
+                    top = (int(pdf["seq"].iat[at]), pdf["op"].iat[at], None if pd.isna(v) else v)
         if top is not None and top != old:
             state.update(top)
             yield pd.DataFrame([(key[0], *top)], columns=["k", "seq", "op", "v"])
@@ -46,18 +49,18 @@ def streaming_updates(log: DataFrame) -> DataFrame:
     return rows.groupBy("k").applyInPandasWithState(step, schema, "seq bigint, op string, v string", "update", GroupStateTimeout.NoTimeout)
 
 
-def into_store(log: DataFrame, store: Store, checkpoint: str, *, compact_every: int = 8) -> Callable[[], StreamingQuery]:
+def into_store(log: DataFrame, store: Store, checkpoint: str) -> Callable[[], StreamingQuery]:
     """A query that appends each micro-batch to the store in the order of seq.
 
-    When so many runs have come together they are compacted; tombstones stay, since an older
-    write may still arrive.  A micro-batch that is run again after a failure changes nothing, as
-    its writes have the same seq.  Returns what starts the query.
+    Levels that have grown too large are compacted on the way, so what a batch rewrites does not grow
+    with the whole log; tombstones stay, since an older write may still arrive.  A micro-batch that is run
+    again after a failure changes nothing, as its writes have the same seq.  Returns what starts the query.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         store.append_log(batch)
-        if len(store.runs) >= compact_every:
-            store.compact(keep_tombstones=True)
+        while store.compact_step(keep_tombstones=True) is not None:
+            pass
 
     return lambda: log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
