@@ -6,10 +6,12 @@ Python with Arrow-batched wrappers, for reading and writing data of other progra
 
 from __future__ import annotations
 
+import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,9 +50,9 @@ def delta_encode(xs: Column) -> Column:
 
 
 def delta_decode(xs: Column) -> Column:
-    """The running sums."""
-    start = F.expr("CAST(array() AS array<bigint>)")
-    return F.aggregate(xs, start, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+    """The running sums; each element is the sum of those before it, so for lists in blocks of bounded size."""
+    add = lambda acc, x: F.struct((acc["last"] + x).alias("last"), F.array_append(acc["out"], acc["last"] + x).alias("out"))
+    return F.aggregate(xs, F.struct(F.lit(0).cast("bigint").alias("last"), F.expr("CAST(array() AS array<bigint>)").alias("out")), add, lambda acc: acc["out"])
 
 
 # ---- coercion and text forms
@@ -66,32 +68,47 @@ def to_hex(c: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(c)))
 
 
-def vertex_text(id_: Column) -> Column:
-    return F.format_string("v[%s]", id_.cast("string"))
-
-
 def edge_text(id_: Column, src: Column, label: Column, dst: Column) -> Column:
     return F.format_string("e[%s][%s-%s->%s]", id_.cast("string"), src.cast("string"), label, dst.cast("string"))
 
 
-def ranges_meet(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
-    """Whether two ranges, both ends inclusive, have a common point."""
-    return (lo1 <= hi2) & (lo2 <= hi1)
-
-
 def varint_size(n: Column) -> Column:
     """Bytes of a non-negative BIGINT in groups of seven bits."""
     return F.when(n == 0, 1).otherwise(F.ceil(F.length(F.bin(n)) / 7)).cast("int")
 
 
-def padded_key(n: Column, width: int = 12) -> Column:
-    """Decimal key with leading zeros, so that byte order is number order."""
-    return F.lpad(n.cast("string"), width, "0")
+# ---- typed values as canonical JSON text: 1, 1.0, "1", true, [..] and {..} differ
+
+
+def json_value(c: Column) -> Column:
+    """Any value as JSON text; null, and what JSON cannot say, as null."""
+    text = F.to_json(F.array(c))
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    return F.when(inner != "null", inner)
+
+
+def json_literal(value: Any) -> str:
+    """The same of a Python value."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
-def inter_arrival(rate: float, seed: int) -> Column:
-    """Exponentially distributed waiting times."""
-    return -F.log(1 - F.rand(seed)) / rate
+def json_text(c: Column) -> Column:
+    """The text of a JSON string; other values as their JSON."""
+    return F.get_json_object(F.concat(F.lit('{"v":'), c, F.lit("}")), "$.v")
+
+
+@F.pandas_udf(T.BinaryType())
+def pack_json(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """MessagePack of JSON text."""
+    for s in it:
+        yield s.map(lambda x: None if x is None else pack(json.loads(x)))
+
+
+@F.pandas_udf(T.StringType())
+def unpack_json(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """JSON text of MessagePack values."""
+    for s in it:
+        yield s.map(lambda x: None if x is None else json_literal(unpack(bytes(x))))
 
 
 # ---- byte-level encodings
@@ -128,18 +145,33 @@ def _crc_table() -> list[int]:
 _CRC = _crc_table()
 
 
-def crc32c(data: bytes) -> int:
-    c = 0xFFFFFFFF
-    for b in data:
-        c = c >> 8 ^ _CRC[(c ^ b) & 255]
-    return c ^ 0xFFFFFFFF
+_CRC_TABLE = np.array(_CRC, np.uint32)
+
+
+def crc32c(values: Sequence[bytes]) -> np.ndarray:
+    """CRC-32C of each value: one step for the bytes at one place of all values, longest values first."""
+    lengths = np.array([len(v) for v in values], np.int64)
+    order = np.argsort(-lengths, kind="stable")
+    data, start = np.frombuffer(b"".join(values), np.uint8), np.concatenate([[0], np.cumsum(lengths)])[:-1]
+    c, start, lengths = np.full(len(lengths), 0xFFFFFFFF, np.uint32), start[order], lengths[order]
+    n = len(lengths)
+    for at in range(int(lengths[0]) if n else 0):
+        while lengths[n - 1] <= at:
+            n -= 1
+        c[:n] = c[:n] >> np.uint32(8) ^ _CRC_TABLE[(c[:n] ^ data[start[:n] + at]) & np.uint32(255)]
+    out = np.empty(len(lengths), np.uint32)
+    out[order] = c ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 @F.pandas_udf(T.LongType())
 def crc32c_column(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """CRC-32C of BINARY values."""
     for s in it:
-        yield s.map(lambda x: None if x is None else crc32c(bytes(x))).astype("Int64")
+        there = s.notna().to_numpy()
+        out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+        out[there] = crc32c([bytes(x) for x in s[there]]).astype(np.int64)
+        yield out
 
 
 _NARROW = ((0xCC, ">B"), (0xCD, ">H"), (0xCE, ">I"), (0xCF, ">Q"))

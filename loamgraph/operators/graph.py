@@ -1,6 +1,7 @@
 """A property graph as three tables.
 
-vertices(id), edges(id, src, dst, label) and props(elem 'V' or 'E', id, key, val).  An edge leads
+vertices(id), edges(id, src, dst, label) and props(elem 'V' or 'E', id, key, val).  Property values are
+text; in a graph that is ``typed`` they are JSON, so numbers, text, truth values, lists and maps differ.  An edge leads
 from src (its outV) to dst (its inV); parallel edges and self loops are allowed.  Graphs are
 values: a change gives a new graph, and nothing runs before a result is asked for.
 """
@@ -11,21 +12,23 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loamgraph.operators import traverse
+from loamgraph.functions import codec
+from loamgraph.functions.text import to_float, to_int
+from loamgraph.operators import ordered, traverse
 from loamgraph.session import empty, pick
 
 EDGE = ("id", "src", "dst", "label")
 PROP = ("elem", "id", "key", "val")
-#: What the graph can do, by the names common to property-graph interfaces.  Property values are text, so lists, arrays, maps and objects are none.
+#: What the graph can do.  Fixed values: the names, which are common to property-graph interfaces.  Values of any type are kept by a graph that is ``typed``.
 FEATURES = {
     "supportsDuplicateEdges": True, "supportsSelfLoops": True, "isPersistent": True, "isRDFModel": False, "supportsVertexIteration": True, "supportsEdgeIteration": True,
     "supportsVertexIndex": False, "supportsEdgeIndex": False, "ignoresSuppliedIds": False, "supportsTransactions": False, "supportsIndices": False, "supportsKeyIndices": False,
     "supportsVertexKeyIndex": False, "supportsEdgeKeyIndex": False, "supportsEdgeRetrieval": True, "supportsVertexProperties": True, "supportsEdgeProperties": True, "supportsThreadedTransactions": False,
     "supportsSerializableObjectProperty": False, "supportsBooleanProperty": True, "supportsDoubleProperty": True, "supportsFloatProperty": True, "supportsIntegerProperty": True,
-    "supportsPrimitiveArrayProperty": False, "supportsUniformListProperty": False, "supportsMixedListProperty": False, "supportsLongProperty": True, "supportsMapProperty": False, "supportsStringProperty": True,
+    "supportsPrimitiveArrayProperty": False, "supportsUniformListProperty": True, "supportsMixedListProperty": True, "supportsLongProperty": True, "supportsMapProperty": True, "supportsStringProperty": True,
 }
 
 
@@ -39,10 +42,25 @@ class PropertyGraph:
     #: key -> (applied when a value is set, applied when it is read), both on columns.
     hooks: Mapping[str, tuple[Callable[[Column], Column], Callable[[Column], Column]]] = field(default_factory=dict)
 
+    #: Property values are JSON.
+    json: bool = False
+
     @classmethod
     def new(cls, spark) -> PropertyGraph:
         return cls(empty(spark, "id bigint"), empty(spark, "id bigint, src bigint, dst bigint, label string"), empty(spark, "elem string, id bigint, key string, val string"))
 
+    def typed(self, types: DataFrame | None = None) -> PropertyGraph:
+        """The graph with JSON values: by types(elem, key, type) 'int' and 'float' become numbers, all else text; a value that does not suit its type is left out."""
+        if self.json:
+            return self
+        props = pick(self.props, *PROP)
+        if types is None:
+            return replace(self, json=True, props=props.withColumn("val", codec.json_value(F.col("val"))))
+        kinds = pick(types, "elem", "key", "type").groupBy("elem", "key").agg(F.min("type").alias("type"))
+        number = F.when(F.col("type") == "int", codec.json_value(to_int(F.col("val")))).when(F.col("type") == "float", codec.json_value(to_float(F.col("val"))))
+        val = F.when(F.col("type").isin("int", "float"), number).otherwise(codec.json_value(F.col("val")))
+        return replace(self, json=True, props=props.join(kinds, ["elem", "key"], "left").withColumn("val", val).where("val IS NOT NULL").select(*PROP))
+
     def with_hook(self, key: str, save: Callable[[Column], Column], load: Callable[[Column], Column]) -> PropertyGraph:
         """Values of this key go through ``save`` in set_properties and through ``load`` in property."""
         return replace(self, hooks={**self.hooks, key: (save, load)})
@@ -64,6 +82,10 @@ class PropertyGraph:
         """One more than the greatest id in use."""
         return (self._table(elem).agg(F.max("id")).first()[0] or 0) + 1
 
+    def with_ids(self, rows: DataFrame, elem: str, *order: str) -> DataFrame:
+        """The rows with new ids of the kind, in the order of these columns."""
+        return ordered.numbered(rows, *order, name="id").withColumn("id", F.col("id") + self.next_id(elem) - 1)
+
     def _table(self, elem: str) -> DataFrame:
         return {"V": self.vertices, "E": self.edges}[elem]
 
@@ -77,8 +99,8 @@ class PropertyGraph:
         return replace(self, vertices=pick(self.vertices, "id").unionByName(pick(rows, "id")).where("id IS NOT NULL").distinct())
 
     def add_edges(self, rows: DataFrame) -> PropertyGraph:
-        """Edges(id, src, dst, label); an edge whose id exists replaces it.  Endpoints are taken to exist."""
-        new = pick(rows, *EDGE).where("id IS NOT NULL").dropDuplicates(["id"])
+        """Edges(id, src, dst, label); an edge whose id exists replaces it, and of rows with one id the greatest counts.  Rows without id are left out.  Endpoints are taken to exist."""
+        new = pick(rows, *EDGE).where("id IS NOT NULL").groupBy("id").agg(F.max(F.struct("src", "dst", "label")).alias("e")).select("id", "e.src", "e.dst", "e.label")
         return replace(self, edges=pick(self.edges, *EDGE).join(new.select("id"), "id", "left_anti").select(*EDGE).unionByName(new))
 
     def remove_vertices(self, ids: DataFrame, *, cascade: bool = False) -> PropertyGraph:
@@ -98,8 +120,9 @@ class PropertyGraph:
         return replace(self, edges=self.edges.join(pick(ids, "id"), "id", "left_anti").select(*EDGE))
 
     def set_properties(self, rows: DataFrame) -> PropertyGraph:
-        """props(elem, id, key, val) written over what is there; a null val removes."""
-        new = pick(rows, *PROP).groupBy("elem", "id", "key").agg(F.max("val").alias("val"))
+        """props(elem, id, key, val) written over what is there; a null val removes.  A typed graph takes values of any type."""
+        rows = pick(rows, *PROP)
+        new = (rows.withColumn("val", codec.json_value(F.col("val"))) if self.json else rows).groupBy("elem", "id", "key").agg(F.max("val").alias("val"))
         for key, (save, _) in self.hooks.items():
             new = new.withColumn("val", F.when(F.col("key") == key, save(F.col("val"))).otherwise(F.col("val")))
         old = self.props.join(new.select("elem", "id", "key"), ["elem", "id", "key"], "left_anti")
@@ -120,7 +143,8 @@ class PropertyGraph:
         return rows if adjacency else rows.where(~F.col("key").isin("inE", "outE"))
 
     def having(self, elem: str, key: str, value: Any) -> DataFrame:
-        """Elements whose property equals the value; a missing property never does."""
+        """Elements whose property equals the value, in a typed graph in type too (1 is not '1'); a missing property never does."""
+        value = codec.json_literal(value) if self.json else value
         match = self.props.where((F.col("elem") == elem) & (F.col("key") == key) & (F.col("val") == F.lit(value))).select("id")
         return self._table(elem).join(match, "id", "left_semi")
 
@@ -181,21 +205,30 @@ class VertexQuery:
         return replace(self, names=labels)
 
     def limit(self, n: int) -> VertexQuery:
+        """At most so many edges of each vertex, the first by (direction, edge id)."""
         return replace(self, most=n)
 
     def edges(self, seeds: DataFrame | None = None) -> DataFrame:
         rows = self.graph.incident(self.dir, self.names, seeds)
         for key, compare, value in self.filters:
-            val = F.col("val").try_cast("double") if isinstance(value, (int, float)) else F.col("val")
+            val = F.col("val").try_cast("double") if isinstance(value, (int, float)) else codec.json_text(F.col("val")) if self.graph.json else F.col("val")
             test = {"=": val == value, "<>": val != value, "<": val < value, "<=": val <= value, ">": val > value, ">=": val >= value}[compare]
             match = self.graph.props.where((F.col("elem") == "E") & (F.col("key") == key) & test).select(F.col("id").alias("edge_id"))
             rows = rows.join(match, "edge_id", "left_semi")
-        return rows if self.most is None else rows.orderBy("v", "dir", "edge_id").limit(self.most)
+        if self.most is None:
+            return rows
+        # Each task keeps the first ones of its rows of a vertex before they are shuffled.
+        place = F.row_number().over(Window.partitionBy("v").orderBy("dir", "edge_id"))
+        return rows.withColumn("_n", place).where(F.col("_n") <= self.most).drop("_n")
 
     def vertices(self, seeds: DataFrame | None = None) -> DataFrame:
         """(v, edge_id, w, dir)."""
         return self.edges(seeds).select("v", "edge_id", F.when(F.col("dir") == "out", F.col("dst")).otherwise(F.col("src")).alias("w"), "dir")
 
+    def vertex_ids(self, seeds: DataFrame | None = None) -> DataFrame:
+        """(v, w): the vertices at the other ends."""
+        return self.vertices(seeds).select("v", "w")
+
     def count(self, seeds: DataFrame | None = None) -> DataFrame:
         """(v, n)."""
         return self.edges(seeds).groupBy("v").agg(F.count("*").alias("n"))

@@ -60,7 +60,7 @@ def walk_counts(edges: DataFrame, directions: Sequence[str]) -> DataFrame:
     """(id, walks): how many walks with these directions begin at each vertex.
 
     The numbers are carried backwards along the edges, one aggregate per step, so no walk is
-    ever written out.  Numbers are decimals of 38 digits.
+    ever written out.  Numbers are exact up to 38 digits; more stop the query.
     """
     counts = None
     for d in reversed(list(directions)):
@@ -70,7 +70,7 @@ def walk_counts(edges: DataFrame, directions: Sequence[str]) -> DataFrame:
             one = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).groupBy("a", "b").agg(F.count("*").cast("decimal(38,0)").alias("m"))
             step = one if step is None else step.unionByName(one)
         if counts is not None:
-            step = step.join(counts.withColumnRenamed("id", "b"), "b").select("a", (F.col("m").cast("decimal(19,0)") * F.col("walks").cast("decimal(19,0)")).alias("m"))
+            step = step.join(counts.withColumnRenamed("id", "b"), "b").select("a", (F.col("m") * F.col("walks")).alias("m"))
         counts = step.groupBy(F.col("a").alias("id")).agg(F.sum("m").cast("decimal(38,0)").alias("walks"))
     return counts
 

@@ -10,7 +10,7 @@ from loamgraph.functions.text import sql_is_int, sql_strip
 from loamgraph.operators import hotkeys, ordered, traverse
 from loamgraph.operators.graph import PropertyGraph
 from loamgraph.session import load
-from loamgraph.sources.importers import table_graph
+from loamgraph.sources.importers import table_graph, table_rejects
 
 
 def v_scan(s, d):
@@ -142,7 +142,54 @@ def vq_has_interval_count(s, d):
 
 
 def vq_limit(s, d):
-    return table_graph(s, d).query().direction("out").limit(50).vertices()
+    return table_graph(s, d).query().direction("out").vertices().orderBy("v", "edge_id").limit(50)
+
+
+def vq_limit_per_vertex(s, d):
+    """The first three edges of each vertex, with what they lead to."""
+    return table_graph(s, d).query().limit(3).vertices()
+
+
+def _typed(s, d):
+    kinds = load(s, d, "attr_keys").where("key IS NOT NULL AND for_elem IS NOT NULL")
+    elems = F.when(F.col("for_elem") == "node", F.array(F.lit("V"))).when(F.col("for_elem") == "edge", F.array(F.lit("E"))).otherwise(F.array(F.lit("V"), F.lit("E")))
+    return table_graph(s, d).typed(kinds.select(F.explode(elems).alias("elem"), "key", F.coalesce("attr_type", F.lit("string")).alias("type")))
+
+
+def v_filter_typed(s, d):
+    """Vertices of the number 30 as age, and of the text 30, which no age is."""
+    g = _typed(s, d)
+    return g.having("V", "age", 30).withColumn("as", F.lit("number")).unionByName(g.having("V", "age", "30").withColumn("as", F.lit("text")))
+
+
+def pack_roundtrip(s, d):
+    """Typed property values after MessagePack and back."""
+    p = _typed(s, d).props
+    return p.select("elem", "id", "key", codec.json_text(codec.unpack_json(codec.pack_json("val"))).alias("val")).where("key IN ('name', 'age', 'note', 'hops')")
+
+
+def value_checksums(s, d):
+    """How many properties have the check value of the nine digits, and how many values there are."""
+    c = codec.crc32c_column(F.encode("val", "utf-8"))
+    probe = codec.crc32c_column(F.encode(F.concat(F.lit("123456789"), F.substring("val", 1, 0)), "utf-8"))
+    return table_graph(s, d).props.select(c.alias("c"), probe.alias("p")).agg(F.count("c").alias("n"), F.count_if(F.col("p") == 0xE3069283).alias("known"))
+
+
+def graph_rejects(s, d):
+    """Endpoints for which edges are left out of the graph."""
+    return table_rejects(s, d)
+
+
+def graph_accounts(s, d):
+    """Edge ids, those in the graph and those left out."""
+    ids = load(s, d, "edges").select("id").distinct()
+    return ids.agg(F.count("*").alias("ids")).crossJoin(table_graph(s, d).edges.agg(F.count_distinct("id").alias("taken"))).crossJoin(table_rejects(s, d).agg(F.count_distinct("id").alias("rejected")))  # one row each
+
+
+def numbered_vertices(s, d):
+    """Customers as new vertices: their ids follow the greatest in use, in the order of their names."""
+    g = table_graph(s, d)
+    return g.with_ids(load(s, d, "customer").select("c_name"), "V", "c_name").select("id", "c_name")
 
 
 def prop_value_between(s, d):
@@ -163,7 +210,8 @@ QUERIES = {f.__name__: f for f in (v_scan, e_scan, v_filter_prop, e_filter_prop,
     "v_outV": _near("out"), "v_inV": _near("in"), "v_bothV": _near("both"), "v_bothV_labels": _near("both", ["link", "cites"]),
 } | {f.__name__: f for f in (
     adjacency_list, delta_blocks, delta_encode, delta_decode, degree, neighbour_report, two_hop, bipartite_walk, walks_out_out, k_hop, prop_get_default, prop_keys, dangling_edges, removed_vertices,
-    set_property, vq_has_interval_count, vq_limit, prop_value_between, graph_counts, label_stats,
+    set_property, vq_has_interval_count, vq_limit, prop_value_between, graph_counts, label_stats, vq_limit_per_vertex, v_filter_typed, pack_roundtrip, value_checksums, graph_rejects, graph_accounts,
+    numbered_vertices,
 )}
 
 _END = lambda c: f"CASE WHEN {sql_is_int(c)} THEN try_cast({sql_strip(c)} AS BIGINT) END"
@@ -217,6 +265,14 @@ ORACLES = {
     "vq_has_interval_count": f"""WITH {_G}, r AS ({_BOTH}) SELECT v, count(*) AS n FROM r WHERE label IN ('knows', 'link')
         AND edge_id IN (SELECT id FROM p WHERE elem = 'E' AND key = 'trust' AND try_cast(val AS DOUBLE) >= 0 AND try_cast(val AS DOUBLE) < 0.5) GROUP BY v""",
     "vq_limit": f"WITH {_G}, r AS ({_OUT}) SELECT v, edge_id, w, dir FROM r ORDER BY v, edge_id LIMIT 50",
+    "vq_limit_per_vertex": f"WITH {_G}, r AS ({_BOTH}) SELECT v, edge_id, w, dir FROM r QUALIFY row_number() OVER (PARTITION BY v ORDER BY dir, edge_id) <= 3",
+    "v_filter_typed": f"WITH {_G} SELECT id, 'number' AS \"as\" FROM v WHERE id IN (SELECT id FROM p WHERE elem = 'V' AND key = 'age' AND {sql_is_int('val')} AND try_cast({sql_strip('val')} AS BIGINT) = 30)",
+    "pack_roundtrip": f"""WITH {_G} SELECT elem, id, key, CASE WHEN key IN ('age', 'hops') AND NOT (key = 'age' AND elem = 'E') AND NOT (key = 'hops' AND elem = 'V') THEN try_cast({sql_strip('val')} AS BIGINT)::VARCHAR ELSE val END AS val
+        FROM p WHERE key IN ('name', 'note') OR key = 'age' AND (elem = 'E' OR {sql_is_int('val')}) OR key = 'hops' AND (elem = 'V' OR {sql_is_int('val')})""",
+    "value_checksums": f"WITH {_G} SELECT count(*) AS n, count(*) AS known FROM p WHERE elem IS NOT NULL AND id IS NOT NULL AND key IS NOT NULL",
+    "graph_rejects": f"SELECT DISTINCT id, side, endpoint FROM (SELECT id, 'src' AS side, source AS endpoint FROM edges UNION ALL SELECT id, 'dst', target FROM edges) WHERE endpoint IS NULL OR NOT {sql_is_int('endpoint')}",
+    "graph_accounts": f"WITH {_G}, a AS (SELECT count(DISTINCT id) AS ids FROM edges), t AS (SELECT count(DISTINCT id) AS taken FROM e) SELECT ids, taken, ids - taken AS rejected FROM a, t",
+    "numbered_vertices": f"WITH {_G} SELECT (SELECT max(id) FROM v) + row_number() OVER (ORDER BY c_name) AS id, c_name FROM customer",
     "prop_value_between": f"WITH {_G} SELECT id FROM v WHERE id IN (SELECT id FROM p WHERE elem = 'V' AND key = 'age' AND {sql_is_int('val')} AND try_cast({sql_strip('val')} AS BIGINT) BETWEEN 20 AND 40)",
     "graph_counts": f"WITH {_G} SELECT 'V' AS elem, count(*) AS n FROM v UNION ALL SELECT 'E', count(*) FROM e",
     "label_stats": f"WITH {_G} SELECT label, count(*) AS n, count(DISTINCT src) AS sources, min(id) AS first_id, max(id) AS last_id FROM e GROUP BY label",

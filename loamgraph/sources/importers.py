@@ -59,7 +59,7 @@ def _elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return rows.select(F.explode(F.concat(F.array(F.struct(*own)), inner("graph"))).alias("e")).select("e.*")
 
 
-def graphml(spark: SparkSession, path: str) -> PropertyGraph:
+def graphml(spark: SparkSession, path: str, *, strict: bool = False) -> PropertyGraph:
     """A graph from GraphML files.
 
     Property values are kept as text in canonical form of their declared type (int, float,
@@ -67,8 +67,20 @@ def graphml(spark: SparkSession, path: str) -> PropertyGraph:
     node or an edge are read too, at any depth; an outermost element with all that it holds is
     one row.  Nodes and edges have their own declarations; one for a kind goes before one for all,
     and among repeats the last in the order of the files counts.  Node and edge ids must be whole
-    numbers; others are an error of their row and left out.
+    numbers; what is left out is listed by ``graphml_rejects``.  ``strict`` makes an unknown type an
+    error, which else means string.
     """
+    if strict and (unknown := [r.key for r in check_types(spark, path).limit(10).collect()]):
+        raise ValueError(f"unknown attr.type of {unknown}")
+    nodes, edges, typed = _parts(spark, path)
+    val = F.when(F.col("type") == "int", to_int(F.col("val")).cast("string")).when(F.col("type") == "float", to_float(F.col("val")).cast("string")).otherwise(F.coalesce("val", F.lit("")))
+    props = typed.select("elem", "id", F.coalesce("name", "key").alias("key"), val.alias("val")).where("val IS NOT NULL").dropDuplicates(["elem", "id", "key"])
+    links = edges.select(*(to_int(F.col(c)).alias(n) for c, n in (("_id", "id"), ("_source", "src"), ("_target", "dst"))), F.col("_label").alias("label")).where("id IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL")
+    return PropertyGraph(nodes.select(to_int(F.col("_id")).alias("id")).where("id IS NOT NULL").distinct(), links.dropDuplicates(["id"]), props)
+
+
+def _parts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, cells with the name and type of their declaration) of GraphML files, as text."""
     read = lambda tag, ddl: spark.read.format("xml").option("rowTag", tag).schema(ddl).load(path)
     nodes = _elements(spark, path, "node").where("_id IS NOT NULL")
     edges = _elements(spark, path, "edge")
@@ -81,10 +93,16 @@ def graphml(spark: SparkSession, path: str) -> PropertyGraph:
     ids = lambda df, elem: df.select(F.lit(elem).alias("elem"), to_int(F.col("_id")).alias("id"), F.explode("data").alias("d")).where("id IS NOT NULL")
     cells = ids(nodes, "V").unionByName(ids(edges, "E")).select("elem", "id", F.col("d._key").alias("key"), F.col("d._VALUE").alias("val"))
     typed = cells.join(types, ["elem", "key"], "left")
-    val = F.when(F.col("type") == "int", to_int(F.col("val")).cast("string")).when(F.col("type") == "float", to_float(F.col("val")).cast("string")).otherwise(F.coalesce("val", F.lit("")))
-    props = typed.select("elem", "id", F.coalesce("name", "key").alias("key"), val.alias("val")).where("val IS NOT NULL").dropDuplicates(["elem", "id", "key"])
-    links = edges.select(*(to_int(F.col(c)).alias(n) for c, n in (("_id", "id"), ("_source", "src"), ("_target", "dst"))), F.col("_label").alias("label")).where("id IS NOT NULL AND src IS NOT NULL AND dst IS NOT NULL")
-    return PropertyGraph(nodes.select(to_int(F.col("_id")).alias("id")).where("id IS NOT NULL").distinct(), links.dropDuplicates(["id"]), props)
+    return nodes, edges, typed
+
+
+def graphml_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(elem, id, what, text) of what ``graphml`` leaves out: elements whose 'id', 'source' or 'target' is no whole number (or missing), and values that do not suit their type (what is the key)."""
+    nodes, edges, typed = _parts(spark, path)
+    bad = lambda df, elem, c: df.where(to_int(F.col(f"_{c}")).isNull()).select(F.lit(elem).alias("elem"), F.col("_id").alias("id"), F.lit(c).alias("what"), F.col(f"_{c}").alias("text"))
+    unfit = ((F.col("type") == "int") & to_int(F.col("val")).isNull()) | ((F.col("type") == "float") & to_float(F.col("val")).isNull())
+    values = typed.where(unfit).select("elem", F.col("id").cast("string").alias("id"), F.coalesce("name", "key").alias("what"), F.col("val").alias("text"))
+    return bad(nodes, "V", "id").unionByName(bad(edges, "E", "id")).unionByName(bad(edges, "E", "source")).unionByName(bad(edges, "E", "target")).unionByName(values)
 
 
 def check_types(spark: SparkSession, path: str) -> DataFrame:
@@ -128,6 +146,13 @@ def table_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(vertices, rows, props.select("elem", "id", "key", F.col("t.val").alias("val")).where("val IS NOT NULL"))
 
 
+def table_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, side, endpoint) of the endpoints for which ``table_graph`` leaves an edge out: null, blank, or no whole number."""
+    side = lambda c, n: F.struct(F.lit(n).alias("side"), F.col(c).alias("endpoint"))
+    rows = load(spark, sf_dir, "edges").select("id", F.explode(F.array(side("source", "src"), side("target", "dst"))).alias("e"))
+    return rows.select("id", "e.side", "e.endpoint").where(to_int(F.col("endpoint")).isNull()).distinct()
+
+
 def workload(spark: SparkSession, n: int, *, keys: int = 1_000_000, value_bytes: int = 100, puts: float = 1.0, dels: float = 0.0, sequential: bool = False, seed: int = 1) -> DataFrame:
     """(k, seq, op, v): random or sequential padded keys with a mix of ADD, DEL and GET."""
     base = spark.range(n).withColumnRenamed("id", "seq")
