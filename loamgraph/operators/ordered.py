@@ -16,20 +16,25 @@ from pyspark.sql import functions as F
 
 from loamgraph.session import shuffle_parts, stored
 
-#: Blocks the rows are cut into by the ordering number.
-BLOCKS = 1024
+#: Blocks the rows are cut into by the ordering number, at least and at most (both powers of two, the cuts are part of the plan), and rows a block is meant for.
+BLOCKS, MOST, ROWS = 1024, 16_384, 1_000_000
+
+
+def blocks_for(rows: int) -> int:
+    """Number of blocks for so many rows."""
+    return min(MOST, max(BLOCKS, 1 << (-(-rows // ROWS)).bit_length()))
 
 
 def _blocked(df: DataFrame, order: str) -> DataFrame:
     """With _b: the block of the ordering number, null numbers in the first."""
-    x = F.col(order).cast("double")
-    cuts = df.agg(F.percentile_approx(x, [i / BLOCKS for i in range(1, BLOCKS)], 16 * BLOCKS)).first()[0]  # one row of BLOCKS - 1 numbers, null without numbers
+    x, n = F.col(order).cast("double"), blocks_for(df.count())
+    cuts = df.agg(F.percentile_approx(x, [i / n for i in range(1, n)], 16 * n)).first()[0]  # one row of n - 1 numbers, null without numbers
     cuts = sorted({c for c in cuts or () if c == c})
     if not cuts:
         return df.withColumn("_b", F.lit(-1).cast("bigint"))
     known = F.split(F.lit(",".join(map(repr, cuts))), ",").cast("array<double>")
     # The number of cuts below the value, by halving.
-    steps = F.array(*(F.lit(1 << i) for i in reversed(range(BLOCKS.bit_length()))))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(n.bit_length()))))
     below = F.aggregate(steps, F.lit(0), lambda n, step: n + F.when(F.coalesce(F.get(known, n + step - 1) < x, F.lit(False)), step).otherwise(0))
     return df.withColumn("_b", F.when(x.isNull(), -1).otherwise(below).cast("bigint"))
 

@@ -9,7 +9,8 @@ from loamgraph.functions import codec
 from loamgraph.functions.text import sql_is_int, sql_strip
 from loamgraph.operators import hotkeys, ordered, traverse
 from loamgraph.operators.graph import PropertyGraph
-from loamgraph.session import load
+from loamgraph.session import load, own_folder
+from loamgraph.sources import importers
 from loamgraph.sources.importers import table_graph, table_rejects
 
 
@@ -186,6 +187,47 @@ def graph_accounts(s, d):
     return ids.agg(F.count("*").alias("ids")).crossJoin(table_graph(s, d).edges.agg(F.count_distinct("id").alias("taken"))).crossJoin(table_rejects(s, d).agg(F.count_distinct("id").alias("rejected")))  # one row each
 
 
+def v_text(s, d):
+    """Text form of every vertex."""
+    return table_graph(s, d).vertices.select("id", codec.vertex_text(F.col("id")).alias("text"))
+
+
+def walk_chain(s, d):
+    """Ends of the walks from a long-standing vertex along an edge 'knows' and back along an edge 'cites'."""
+    seeds = load(s, d, "catalog_vertices").select("id").distinct()
+    return traverse.walk(table_graph(s, d).edges, seeds, ["out", "in"], [["knows"], ["cites"]])
+
+
+def import_edge_list(s, d):
+    """Orders as an edge list written to text files and read again."""
+    at = own_folder(s)
+    load(s, d, "orders").select(F.concat_ws("\t", "o_custkey", "o_orderkey")).write.text(at)
+    return importers.edge_list(s, at, label="order").edges.select("src", "dst", "label")
+
+
+def import_ids(s, d):
+    """The customers' keys written to text files and read again as a list of ids."""
+    at = own_folder(s)
+    load(s, d, "customer").select(F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(" and"))).write.text(at)
+    return importers.id_list(s, at)
+
+
+def import_graphml(s, d):
+    """Names and balances of the customers and their orders, as GraphML and back: properties of the nodes and, as links, the edges."""
+    at = own_folder(s)
+    c, o = load(s, d, "customer"), load(s, d, "orders")
+    keys = s.createDataFrame([("name", "node", "name", "string"), ("nation", "node", "nation", "int"), ("price", "edge", "price", "float")], "_id string, _for string, `_attr.name` string, `_attr.type` string")
+    data = lambda **cells: F.array(*(F.struct(F.col(c).cast("string").alias("_VALUE"), F.lit(k).alias("_key")) for k, c in cells.items())).alias("data")
+    nodes = c.select(F.col("c_custkey").alias("_id"), data(name="c_name", nation="c_nationkey"))
+    orders = o.select(F.col("o_orderkey").alias("_id"), F.col("o_custkey").alias("_source"), F.col("o_orderkey").alias("_target"), F.lit("order").alias("_label"), data(price="o_totalprice"))
+    for tag, part in (("key", keys), ("node", nodes), ("edge", orders)):
+        part.write.mode("append").format("xml").option("rootTag", "graphml").option("rowTag", tag).save(at)
+    g = importers.graphml(s, at)
+    props = g.props.select("elem", "id", "key", F.when(F.col("key") == "price", "").otherwise(F.col("val")).alias("val"), F.when(F.col("key") == "price", F.col("val").cast("double")).alias("number"))
+    links = g.edges.select(F.lit("E").alias("elem"), "id", F.lit("src").alias("key"), F.col("src").cast("string").alias("val"), F.lit(None).cast("double").alias("number"))
+    return props.unionByName(links)
+
+
 def numbered_vertices(s, d):
     """Customers as new vertices: their ids follow the greatest in use, in the order of their names."""
     g = table_graph(s, d)
@@ -211,7 +253,7 @@ QUERIES = {f.__name__: f for f in (v_scan, e_scan, v_filter_prop, e_filter_prop,
 } | {f.__name__: f for f in (
     adjacency_list, delta_blocks, delta_encode, delta_decode, degree, neighbour_report, two_hop, bipartite_walk, walks_out_out, k_hop, prop_get_default, prop_keys, dangling_edges, removed_vertices,
     set_property, vq_has_interval_count, vq_limit, prop_value_between, graph_counts, label_stats, vq_limit_per_vertex, v_filter_typed, pack_roundtrip, value_checksums, graph_rejects, graph_accounts,
-    numbered_vertices,
+    numbered_vertices, v_text, walk_chain, import_edge_list, import_ids, import_graphml,
 )}
 
 _END = lambda c: f"CASE WHEN {sql_is_int(c)} THEN try_cast({sql_strip(c)} AS BIGINT) END"
@@ -272,6 +314,12 @@ ORACLES = {
     "value_checksums": f"WITH {_G} SELECT count(*) AS n, count(*) AS known FROM p WHERE elem IS NOT NULL AND id IS NOT NULL AND key IS NOT NULL",
     "graph_rejects": f"SELECT DISTINCT id, side, endpoint FROM (SELECT id, 'src' AS side, source AS endpoint FROM edges UNION ALL SELECT id, 'dst', target FROM edges) WHERE endpoint IS NULL OR NOT {sql_is_int('endpoint')}",
     "graph_accounts": f"WITH {_G}, a AS (SELECT count(DISTINCT id) AS ids FROM edges), t AS (SELECT count(DISTINCT id) AS taken FROM e) SELECT ids, taken, ids - taken AS rejected FROM a, t",
+    "v_text": f"WITH {_G} SELECT id, 'v[' || id || ']' AS text FROM v",
+    "walk_chain": f"WITH {_G} SELECT c.id AS v, b.src AS w FROM catalog_vertices c JOIN e a ON a.src = c.id AND a.label = 'knows' JOIN e b ON b.dst = a.dst AND b.label = 'cites'",
+    "import_edge_list": "SELECT o_custkey AS src, o_orderkey AS dst, 'order' AS label FROM orders",
+    "import_ids": "SELECT c_custkey AS id FROM customer",
+    "import_graphml": """SELECT 'V' AS elem, c_custkey AS id, 'name' AS key, c_name AS val, NULL::DOUBLE AS number FROM customer UNION ALL SELECT 'V', c_custkey, 'nation', c_nationkey::VARCHAR, NULL FROM customer
+        UNION ALL SELECT 'E', o_orderkey, 'price', '', o_totalprice FROM orders UNION ALL SELECT 'E', o_orderkey, 'src', o_custkey::VARCHAR, NULL FROM orders""",
     "numbered_vertices": f"WITH {_G} SELECT (SELECT max(id) FROM v) + row_number() OVER (ORDER BY c_name) AS id, c_name FROM customer",
     "prop_value_between": f"WITH {_G} SELECT id FROM v WHERE id IN (SELECT id FROM p WHERE elem = 'V' AND key = 'age' AND {sql_is_int('val')} AND try_cast({sql_strip('val')} AS BIGINT) BETWEEN 20 AND 40)",
     "graph_counts": f"WITH {_G} SELECT 'V' AS elem, count(*) AS n FROM v UNION ALL SELECT 'E', count(*) FROM e",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import re
 import shutil
 import tempfile
@@ -33,6 +34,14 @@ def build_session(app: str = "loamgraph", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to executors that do not have it: its functions are sent by name only."""
+    home = pathlib.Path(__file__).parent
+    with tempfile.TemporaryDirectory() as at:
+        found = shutil.make_archive(f"{at}/{home.name}", "zip", home.parent, home.name)
+        spark.sparkContext.addPyFile(found)  # copied by the driver before this returns
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 

@@ -153,14 +153,15 @@ def table_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "e.side", "e.endpoint").where(to_int(F.col("endpoint")).isNull()).distinct()
 
 
-def workload(spark: SparkSession, n: int, *, keys: int = 1_000_000, value_bytes: int = 100, puts: float = 1.0, dels: float = 0.0, sequential: bool = False, seed: int = 1) -> DataFrame:
-    """(k, seq, op, v): random or sequential padded keys with a mix of ADD, DEL and GET."""
+def workload(spark: SparkSession, n: int, *, keys: int = 1_000_000, value_bytes: int = 100, puts: float = 1.0, dels: float = 0.0, sequential: bool = False, seed: int = 1, rate: float | None = None) -> DataFrame:
+    """(k, seq, op, v): random or sequential padded keys with a mix of ADD, DEL and GET; with ``rate`` also wait, the exponentially distributed time to the next one."""
     base = spark.range(n).withColumnRenamed("id", "seq")
     k = F.col("seq") % keys if sequential else F.floor(F.rand(seed) * keys)
     half = value_bytes // 2
     r = F.rand(seed + 1)
+    wait = [] if rate is None else [(-F.log(1 - F.rand(seed + 2)) / rate).alias("wait")]
     return base.select(
-        F.lpad(k.cast("string"), 12, "0").alias("k"), "seq",
+        F.lpad(k.cast("string"), 12, "0").alias("k"), "seq", *wait,
         F.when(r < puts, "ADD").when(r < puts + dels, "DEL").otherwise("GET").alias("op"),
         F.rpad(F.repeat(F.hex(F.xxhash64("seq")), -(-half // 16)), half, "0").alias("v"),
     ).withColumn("v", F.concat("v", "v"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -16,7 +17,9 @@ from loamgraph.operators import changelog, ordered, traverse
 from loamgraph.operators.graph import FEATURES, PropertyGraph
 from loamgraph.operators.store import Store
 from loamgraph.sources import importers
+from loamgraph import session
 from loamgraph.streaming import replay
+from loamgraph.streaming.status import Status
 
 EDGES = [(7, 1, 2, "knows", 0.5), (8, 1, 4, "knows", 1.0), (9, 1, 3, "created", 0.4), (10, 4, 5, "created", 1.0), (11, 4, 3, "created", 0.4), (12, 6, 3, "created", 0.2)]
 PEOPLE = {1: ("marko", 29, None), 2: ("vadas", 27, None), 3: ("lop", None, "java"), 4: ("josh", 32, None), 5: ("ripple", None, "java"), 6: ("peter", 35, None)}
@@ -253,6 +256,25 @@ def test_typed_values(g, spark):
     assert g.typed().having("V", "age", "29").count() == 1
 
 
+def test_a_vertex_with_a_third_of_all_edges_is_split(spark):
+    """The joins of traversals are split by the engine where one vertex has very many edges; the aggregates after them do not prevent it."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20000", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = spark.range(60_000).repartition(6).selectExpr("id", "IF(id % 3 = 0, 7, id % 5000) AS src", "(id * 17) % 20000 AS dst", "'l' AS label")
+        seeds = spark.range(5000)
+        reached = traverse.neighbours(edges, seeds, "out").select("w").distinct()
+        degree = traverse.incident(edges, seeds, "out").groupBy("dst").count()
+        for df in (reached, degree):
+            df.collect()
+            assert "skew=true" in df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_limit_and_ids(g, spark):
     first = g.query().limit(1).edges().collect()
     assert {(r.v, r.edge_id) for r in first} == {(1, 7), (2, 7), (3, 9), (4, 8), (5, 10), (6, 12)} and len(first) == 6
@@ -376,6 +398,27 @@ def test_late_writes_lose(spark, tmp_path):
     assert {(r.k, r.seq, r.op) for r in spark.table("latest").collect()} == {("a", 9, "DEL"), ("b", 3, "ADD"), ("c", 2, "ADD")}
 
 
+def test_status_of_a_stream(spark, tmp_path):
+    status = Status(spark)
+    q = replay.streaming_latest(stream(spark, tmp_path, "m")).writeStream.format("memory").queryName("watched").outputMode("complete").option("checkpointLocation", f"file://{tmp_path}/c4").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    for _ in range(100):
+        if status.batches().count() >= 3:
+            break
+        time.sleep(0.2)
+    status.close()
+    got = status.batches().where("query = 'watched'").collect()
+    assert sum(r.rows for r in got) == 6 and max(r.state_rows for r in got) == 3 and all(r.millis > 0 for r in got)
+
+
+def test_workload_and_package(spark):
+    w = importers.workload(spark, 4000, rate=5.0).agg(F.avg("wait").alias("m"), F.min("wait").alias("lo")).first()
+    assert abs(w.m - 0.2) < 0.02 and w.lo >= 0
+    session.ship(spark)
+    assert any(f.endswith("loamgraph.zip") for f in spark.sparkContext.listFiles)
+    assert ordered.blocks_for(0) == ordered.blocks_for(10**6) == 1024 and ordered.blocks_for(10**13) == ordered.MOST and ordered.blocks_for(3 * 10**9) == 4096
+
+
 def test_stream_into_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store", first=2)
     replay.into_store(stream(spark, tmp_path, "s"), store, f"file://{tmp_path}/c3")().awaitTermination(120)
