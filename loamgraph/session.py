@@ -34,12 +34,21 @@ def build_session(app: str = "loamgraph", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to executors that do not have it: its functions are sent by name only."""
+def ship(spark: SparkSession) -> str | None:
+    """Send this package, by way of the shared folder, to executors that do not have it: its functions are sent by name only.
+
+    The archive's place, or None in a single process, which has the package already.
+    """
+    if re.match(r"local(\[|$)", spark.sparkContext.master):
+        return None
     home = pathlib.Path(__file__).parent
-    with tempfile.TemporaryDirectory() as at:
-        found = shutil.make_archive(f"{at}/{home.name}", "zip", home.parent, home.name)
-        spark.sparkContext.addPyFile(found)  # copied by the driver before this returns
+    target = f"{shared_dir(spark)}/package-{uuid.uuid4().hex}/{home.name}.zip"
+    with tempfile.TemporaryDirectory() as at:  # the driver's own, for as long as this takes
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        to = path(target)
+        to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(path(shutil.make_archive(f"{at}/{home.name}", "zip", home.parent, home.name)), to)
+    spark.sparkContext.addPyFile(target)
+    return target
 
 
 def shared_dir(spark: SparkSession) -> str:

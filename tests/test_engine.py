@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import random
+import subprocess
+import sys
 import time
 
 import pytest
@@ -414,11 +416,26 @@ def test_status_of_a_stream(spark, tmp_path):
 def test_workload_and_package(spark):
     w = importers.workload(spark, 4000, rate=5.0).agg(F.avg("wait").alias("m"), F.min("wait").alias("lo")).first()
     assert abs(w.m - 0.2) < 0.02 and w.lo >= 0
-    session.ship(spark)
-    assert any(f.endswith("loamgraph.zip") for f in spark.sparkContext.listFiles)
+    assert session.ship(spark) is None
     assert ordered.blocks_for(0) == ordered.blocks_for(10**6) == 1024 and ordered.blocks_for(10**13) == ordered.MOST and ordered.blocks_for(3 * 10**9) == 4096
 
 
+def test_executors_get_the_package(tmp_path):
+    """Executors that have no such package on their path run its functions after ``ship``."""
+    code = f"""
+import sys; sys.path.insert(0, {os.getcwd()!r})
+from loamgraph.session import build_session, ship
+from loamgraph.functions import codec
+s = build_session(master="local-cluster[1,1,1024]", spark__checkpoint__dir="file://{tmp_path}/shared", spark__ui__enabled="false", spark__driver__host="127.0.0.1", spark__sql__shuffle__partitions="1")
+ship(s)
+assert s.createDataFrame([(b"123456789",)], "b binary").select(codec.crc32c_column("b").alias("c")).first().c == 0xE3069283
+s.stop()
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert got.returncode == 0, got.stderr[-2000:]
+
+
 def test_stream_into_store(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/store", first=2)
     replay.into_store(stream(spark, tmp_path, "s"), store, f"file://{tmp_path}/c3")().awaitTermination(120)
