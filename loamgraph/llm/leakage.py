@@ -228,13 +228,17 @@ class ItemIndex:
                 if s >= least - EPS:
                     yield int(at[i]), s
 
-    def similar(self, sh: np.ndarray, least: float, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (place, window of an item) that share a shingle without which they are less similar than ``least``, without the items of ``done``."""
-        key, window, there, _ = self._heavy(least)
+    def shared(self, sh: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, first, last + 1 in the heavy shingles) of the shingles without which a window of an item is less similar than ``least``."""
+        key, _, there, _ = self._heavy(least)
         at = np.flatnonzero(there[(sh & np.uint64(there.size - 1)).astype(np.int64)])
         first, last = np.searchsorted(key, sh[at], "left"), np.searchsorted(key, sh[at], "right")
         some = last > first
-        at, first, last = at[some], first[some], last[some]
+        return at[some], first[some], last[some]
+
+    def similar(self, at: np.ndarray, first: np.ndarray, last: np.ndarray, n: int, least: float, done: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (place, window of an item) of windows of ``n`` shingles around what is ``shared``, without the items of ``done``."""
+        window = self._heavy(least)[1]
         shift = np.arange(self.per)
         step = max(1, PAIRS // self.per)
         while len(at):  # the windows of one shingle, one after the other: memory stays bounded
@@ -242,7 +246,7 @@ class ItemIndex:
                 w = window[first[lo : lo + step]]
                 a = at[lo : lo + step, None] - shift[None, :]
                 w, a = np.repeat(w, self.per), a.ravel()
-                keep = (a >= 0) & (a <= len(sh) - self.per) & ~np.isin(self.owners[w], done)
+                keep = (a >= 0) & (a <= n - self.per) & ~np.isin(self.owners[w], done)
                 if keep.any():
                     yield a[keep], w[keep]
             first = first + 1
@@ -271,15 +275,15 @@ class ItemIndex:
             take(at, window)
         if least < 1:
             done = np.array([i for i, (v, _) in best.items() if v], np.int64)
-            key, _, there, _ = self._heavy(least)
-            if there[(sh & np.uint64(there.size - 1)).astype(np.int64)].any():
+            hits = self.shared(sh, least)
+            if len(hits[0]):
                 # Words that none of these items has, but others may: their shingles weigh what they weigh among all items.
                 own = self.hashes[ids].copy()
                 for i in np.flatnonzero(ids == other).tolist():
                     own[i] = xxhash.xxh64_intdigest(words[i])
                 sh = shingles(own, self.k)
                 view = np.lib.stride_tricks.sliding_window_view(sh, self.per)
-                for at, window in self.similar(sh, least, done):
+                for at, window in self.similar(*hits, len(sh), least, done):
                     take(at, window)
         return [(i, v, s) for i, (v, s) in best.items()]
 
