@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from loamgraph.functions.text import to_float, to_int
 from loamgraph.session import bucketed, pick, shuffle_parts
 
-#: Property rows for each bucket of entities, as far as there are no more buckets than shuffle partitions.
-BUCKET = 100_000
+#: Property rows for each bucket of entities, and those below which a bucket is not worth while for the sake of another core.
+BUCKET, LEAST = 200_000, 20_000
 
 #: The word for an element's kind in declarations, and the types known.
 KIND_OF = {"V": "node", "E": "edge"}
@@ -91,7 +91,8 @@ class WideTables:
     def __init__(self, props: DataFrame, attr_keys: DataFrame, *, fan_in: int = 8):
         self.attributes, self.fan_in = declared(attr_keys), fan_in
         spark = props.sparkSession
-        self.buckets = max(1, min(shuffle_parts(spark), -(-props.count() // BUCKET)))
+        n = props.count()
+        self.buckets = max(1, min(shuffle_parts(spark), max(-(-n // BUCKET), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)))))
         numbers = spark.createDataFrame([(a.elem, a.key, a.number) for a in self.attributes], "elem string, key string, attr int")
         cells = current_cells(props).join(F.broadcast(numbers), ["elem", "key"], "left")  # at most `most` rows
         # Rows without a declared key only name their entity.
