@@ -81,6 +81,20 @@ def varint_size(n: Column) -> Column:
     return F.when(n == 0, 1).otherwise(F.ceil(F.length(F.bin(n)) / 7)).cast("int")
 
 
+def varint(n: Column) -> Column:
+    """BINARY of a non-negative BIGINT in groups of seven bits, lowest first; the highest bit of a byte says that another follows."""
+    size = varint_size(n)
+    byte = lambda i: F.call_function("shiftright", n, (i * 7).cast("int")).bitwiseAND(F.lit(127).cast("bigint")) + F.when(i < size - 1, 128).otherwise(0)
+    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+
+def varint_value(data: Column) -> Column:
+    """The number of such a BINARY."""
+    places = F.sequence(F.lit(0), F.octet_length(data) - 1)
+    byte = lambda i: F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("bigint").bitwiseAND(F.lit(127).cast("bigint"))
+    return F.aggregate(places, F.lit(0).cast("bigint"), lambda acc, i: acc + F.call_function("shiftleft", byte(i), (i * 7).cast("int")))
+
+
 # ---- typed values as canonical JSON text: 1, 1.0, "1", true, [..] and {..} differ
 
 

@@ -158,6 +158,12 @@ def key_parse(s, d):
     return k.select("path", "element", codec.last_part(F.col("path")).alias("name"), codec.id_part(F.col("path")).alias("id"), codec.to_hex(F.col("element")).alias("hex"), codec.varint_size(codec.id_part(F.col("path"))).cast("bigint").alias("id_bytes"))
 
 
+def varints(s, d):
+    """The vertices' ids as numbers of variable length, and read back."""
+    n = load(s, d, "vertices").select("id").where("id IS NOT NULL").distinct().select("id", codec.varint(F.col("id")).alias("v"))
+    return n.select("id", F.hex("v").alias("hex"), codec.varint_value(F.col("v")).alias("back"))
+
+
 def file_range_sizes(s, d):
     """Bytes of all files and of each, with the share of the total."""
     stats = log.run_stats(entries_log(s, d), "file_num").select("file_num", (F.col("key_bytes") + F.col("value_bytes")).alias("bytes"))
@@ -238,7 +244,7 @@ def workload_counts(s, d):
 QUERIES = {f.__name__: f for f in (
     kv_snapshot, kv_get, kv_multi_get, kv_version_history, kv_tombstones, kv_merge_runs, kv_range_scan, kv_prefix_scan, kv_seek_limit, kv_reverse_scan, kv_full_scan, kv_binary_snapshot,
     kv_run_stats, kv_range_overlap, kv_level_scores, kv_op_counters, kv_partial_compaction, kv_full_compaction, kv_bloom_candidates, kv_new_keys, latency_percentiles, throughput_interval,
-    topk_least_used, prop_between, key_parse, file_range_sizes, store_roundtrip, store_multi_get, store_scan, store_compacted, store_copy, workload_counts,
+    topk_least_used, prop_between, key_parse, file_range_sizes, store_roundtrip, store_multi_get, store_scan, store_compacted, store_copy, workload_counts, varints,
 )}
 
 _LOG = "l AS (SELECT user_id AS k, event_id AS seq, CASE WHEN event_type = 'error' THEN 'DEL' ELSE 'ADD' END AS op, value AS v FROM events)"
@@ -275,6 +281,8 @@ ORACLES = {
     "store_scan": f"WITH {_LEFT} SELECT k, v FROM o WHERE k >= 'o/1' AND k <= 'o/3'",
     "store_compacted": f"WITH {_LEFT} SELECT count(*) AS entries, count(*) AS adds, hex(min(k)) AS smallest, hex(max(k)) AS largest, count(*) AS live, max(v) AS max_v FROM o",
     "store_copy": f"WITH {_LEFT} SELECT k, v FROM o",
+    "varints": """WITH n AS (SELECT DISTINCT id, greatest(1, ceil(length(bin(id)) / 7.0))::BIGINT AS size FROM vertices WHERE id IS NOT NULL)
+        SELECT id, list_reduce(list_transform(range(size), lambda i: printf('%02X', ((id >> (i * 7)::BIGINT) & 127) + CASE WHEN i < size - 1 THEN 128 ELSE 0 END)), lambda x, y: x || y) AS hex, id AS back FROM n""",
     "workload_counts": "SELECT 3000::BIGINT AS operations, 500::BIGINT AS keys, true AS agrees, true AS hit",
     "kv_new_keys": "SELECT hex(key) AS key FROM (SELECT key FROM sst_entries WHERE key IS NOT NULL EXCEPT SELECT key FROM base_keys)",
     "latency_percentiles": """WITH s AS (SELECT event_type, list_sort(list(value)) AS l, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1)

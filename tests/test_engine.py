@@ -370,6 +370,8 @@ def test_byte_functions(spark):
         assert codec.varint_decode(codec.varint_encode(n)) == (n, len(codec.varint_encode(n)))
     r = spark.createDataFrame([(n,) for n in (0, 127, 128, 1 << 40)], "n bigint").select("n", codec.varint_size(F.col("n")).alias("s")).collect()
     assert all(x.s == len(codec.varint_encode(x.n)) for x in r)
+    r = spark.createDataFrame([(n,) for n in (0, 127, 128, 1 << 40, (1 << 63) - 1)], "n bigint").select("n", codec.varint(F.col("n")).alias("v")).select("*", codec.varint_value(F.col("v")).alias("b")).collect()
+    assert all(bytes(x.v) == codec.varint_encode(x.n) and x.b == x.n for x in r)
     c = spark.createDataFrame([(b"123456789",), (None,)], "b binary").select(codec.crc32c_column("b").alias("c"), codec.to_hex(F.col("b")).alias("h")).collect()
     assert [x.c for x in c] == [0xE3069283, None] and c[0].h == "0x313233343536373839"
     lists = spark.createDataFrame([([5, 1, 9, 9],), ([],)], "x array<bigint>").select(codec.delta_encode(F.col("x")).alias("d")).select("d", codec.delta_decode(F.col("d")).alias("x")).collect()
