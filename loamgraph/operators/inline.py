@@ -369,9 +369,11 @@ def graph_elements(flat: FlatTables) -> DataFrame:
     nodes, edges, graphs, data = (flat.element(t, *c) for t, c in LINKS.items())
     table = {e: flat.name(e) for e in LINKS}
     elements = nodes.withColumn("t", F.lit(table["node"])).unionByName(edges.withColumn("t", F.lit(table["edge"])))
+    # The graphs get their node's id before the elements come in, which are many more and so are shuffled once less.
     holder = graphs.select(F.col("row_id").alias("parent_row"), F.when(F.col("parent_tbl") == table["node"], F.col("parent_row")).alias("node_row"))
     parent = nodes.select(F.col("row_id").alias("node_row"), F.col("id").alias("parent_id"))
-    keys = data.where("key IS NOT NULL").select(F.col("parent_tbl").alias("t"), F.col("parent_row").alias("row_id"), "key").distinct()
-    found = elements.where(F.col("parent_tbl") == table["graph"]).join(holder, "parent_row").join(parent, "node_row", "left").join(keys, ["t", "row_id"], "left")
+    holder = holder.join(parent, "node_row", "left").select("parent_row", "parent_id")
+    keys = data.where("key IS NOT NULL").select(F.col("parent_tbl").alias("t"), F.col("parent_row").alias("row_id"), "key")
+    found = elements.where(F.col("parent_tbl") == table["graph"]).join(holder, "parent_row").join(keys, ["t", "row_id"], "left")
     text = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     return found.select("record_id", F.coalesce("id", F.lit("")).alias("elem_id"), text("parent_id"), text("key")).distinct()
