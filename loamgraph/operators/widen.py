@@ -66,14 +66,19 @@ def declared(attr_keys: DataFrame, *, most: int = 5000) -> list[Attribute]:
     return found
 
 
-def current_cells(props: DataFrame) -> DataFrame:
-    """(elem, id, key, val) of the row with the highest seq of each cell.
+def current_cells(props: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(attr, id, val) of the row with the highest seq of each cell, by numbers(elem, key, attr) of the declared attributes.
 
-    Rows without elem, id or key belong to no cell.  A null seq counts as the lowest; of
-    different values with one seq the greatest counts.  A null val (removed) is kept.
+    Rows without elem, id or key belong to no cell.  A null seq counts as the lowest; of different values with one
+    seq the greatest counts.  A null val (removed) is kept.  All rows of an entity without a declared key make
+    one cell, -1 for vertices and -2 for edges, which only names it: however many there are, they are combined before the shuffle.
     """
-    rows = pick(props, "elem", "id", "key", "val", "seq").where("elem IS NOT NULL AND id IS NOT NULL AND key IS NOT NULL")
-    return rows.groupBy("elem", "id", "key").agg(F.max(F.struct("seq", "val")).alias("top")).select("elem", "id", "key", F.col("top.val").alias("val"))
+    rows = pick(props, "elem", "id", "key", "val", "seq").where(F.col("elem").isin(*KIND_OF) & F.col("id").isNotNull() & F.col("key").isNotNull())
+    known = F.col("attr").isNotNull()
+    rows = rows.join(F.broadcast(numbers), ["elem", "key"], "left").select(  # one row for each declared attribute
+        F.coalesce("attr", F.when(F.col("elem") == "V", -1).otherwise(-2)).alias("attr"), "id", F.when(known, F.struct("seq", "val")).alias("cell")
+    )
+    return rows.groupBy("attr", "id").agg(F.max("cell").alias("cell")).select("attr", "id", F.col("cell.val").alias("val"))
 
 
 class WideTables:
@@ -94,9 +99,7 @@ class WideTables:
         n = props.count()
         self.buckets = max(1, min(shuffle_parts(spark), max(-(-n // BUCKET), min(spark.sparkContext.defaultParallelism, -(-n // LEAST)))))
         numbers = spark.createDataFrame([(a.elem, a.key, a.number) for a in self.attributes], "elem string, key string, attr int")
-        cells = current_cells(props).join(F.broadcast(numbers), ["elem", "key"], "left")  # at most `most` rows
-        # Rows without a declared key only name their entity.
-        cells = cells.where(F.col("elem").isin(*KIND_OF)).select(F.coalesce("attr", F.when(F.col("elem") == "V", -1).otherwise(-2)).alias("attr"), "id", "val")
+        cells = current_cells(props, numbers)
         self.cells = bucketed(cells.repartition(self.buckets, "id"), "cells", self.buckets, "id", "attr")
         self._entities: dict[str, DataFrame] = {}
 

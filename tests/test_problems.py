@@ -70,6 +70,13 @@ def test_many_attributes_in_small_plans(spark):
     assert sum(len(r["unfit"]) for r in got.values()) == t.unfit().count() == sum(i % 7 == 0 and i // 20 % 2 == 1 for i in range(n * 20))
 
 
+def test_an_entity_with_very_many_undeclared_keys_is_one_cell(spark):
+    rows = spark.range(9000).selectExpr("'V' AS elem", "IF(id % 3 = 0, 7, id) AS id", "IF(id % 3 = 0, concat('x', id), 'age') AS key", "string(id) AS val", "id AS seq")
+    t = WideTables(rows, spark.createDataFrame([("node", "age", "int")], KEYS))
+    assert t.cells.groupBy("id").count().agg({"count": "max"}).first()[0] == 2  # 7 has an age too
+    assert t.wide("V").count() == 6000 and t.wide("V").where("id = 7").first().age == 7 and t.unfit().count() == 0
+
+
 def test_joins_of_narrow_tables_do_not_shuffle(spark):
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
