@@ -27,8 +27,12 @@ def blocks_for(rows: int) -> int:
 
 def _blocked(df: DataFrame, order: str) -> DataFrame:
     """With _b: the block of the ordering number, null numbers in the first."""
-    x, n = F.col(order).cast("double"), blocks_for(df.count())
-    cuts = df.agg(F.percentile_approx(x, [i / n for i in range(1, n)], 16 * n)).first()[0]  # one row of n - 1 numbers, null without numbers
+    x, n = F.col(order).cast("double"), BLOCKS
+    quantiles = lambda n: F.percentile_approx(x, [i / n for i in range(1, n)], 16 * n)
+    rows, cuts = df.agg(F.count("*"), quantiles(n)).first()  # one row, of n - 1 numbers, null without numbers
+    if blocks_for(rows) > n:
+        n = blocks_for(rows)
+        cuts = df.agg(quantiles(n)).first()[0]
     cuts = sorted({c for c in cuts or () if c == c})
     if not cuts:
         return df.withColumn("_b", F.lit(-1).cast("bigint"))
