@@ -1,8 +1,8 @@
 """Whether a text is mainly English.
 
 Frequent words tell some languages apart.  Any other language is known by its trigrams of
-letters: a profile, made of the clearly English texts in a bounded sample of the corpus, says how
-likely a word is in English, and a text with too many unlikely words is not English.
+letters: a profile, made of all clearly English texts of the corpus, says how likely a word is
+in English, and a text with too many unlikely words is not English.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from loamgraph.session import pick, stored
 TRIGRAMS = 1 << 13
 #: Part of the words that must be frequent English ones, and how many times as many as of any other language, in a clearly English text.
 CLEAR, AHEAD = 0.15, 3
-#: A word is unlikely if it is less likely than all but this part of the words in the sample's English texts; a text may have so large a part of unlikely words.
+#: A word is unlikely if it is less likely than all but this part of the words in the clearly English texts; a text may have so large a part of unlikely words.
 RARE, STRANGE = 0.01, 0.25
 #: Words whose likelihoods a task keeps at hand.
 CACHE = 100_000
@@ -48,6 +48,12 @@ def hits(words: Mapping[str, int]) -> tuple[int, int]:
     return n.pop("en"), max(n.values())
 
 
+def clear(words: Mapping[str, int]) -> bool:
+    """Whether a text of these words is clearly English."""
+    en, other = hits(words)
+    return en >= max(1, CLEAR * sum(words.values()), AHEAD * other)
+
+
 class Profile:
     """Log-probability of each trigram in English, and the least mean one of a word that is not unlikely."""
 
@@ -73,24 +79,33 @@ class Profile:
         return bool(words) and en >= other and sum(c for w, c in words.items() if not self.likely(w)) <= STRANGE * sum(words.values())
 
 
-def fit(documents: DataFrame, words_of: Callable[[str | None], Counter], *, sample: int = 1000) -> Profile:
-    """The profile of English from at most ``sample`` different texts of documents(text), those whose hash is lowest.
+def marked(documents: DataFrame) -> DataFrame:
+    """The documents with ``hash``, which equal texts share, and ``row``, a number of their own once they are stored."""
+    return documents.withColumn("hash", F.unhex(F.md5("text"))).withColumn("row", F.monotonically_increasing_id())
 
-    A corpus without clearly English texts has no unlikely words: frequent words alone decide then.
-    """
-    texts = pick(documents, "text").where("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
-    lowest = stored(texts.select("h").distinct().orderBy("h").limit(sample), "lowest")
-    chosen = texts.join(F.broadcast(lowest), "h", "left_semi").dropDuplicates(["h"])  # at most `sample` hashes
 
-    def clear(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def fit(documents: DataFrame, words_of: Callable[[str | None], Counter]) -> Profile:
+    """The profile of English from all different texts of documents(text)."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            for text in pdf["text"]:
-                words = words_of(text)
-                en, other = hits(words)
-                if en >= max(1, CLEAR * words.total(), AHEAD * other):
-                    yield pd.DataFrame({"word": list(words), "n": list(words.values())})
+            got = [words_of(t) for t in pdf.pop("text")]
+            yield pdf.assign(vocabulary=[list(w) for w in got], counts=[list(w.values()) for w in got])[[clear(w) for w in got]]
 
-    words = stored(chosen.select("text").mapInPandas(clear, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "english")
+    texts = marked(pick(documents, "text").where("text IS NOT NULL"))
+    return profile(stored(texts.mapInPandas(run, "hash binary, row bigint, vocabulary array<string>, counts array<int>"), "texts"))
+
+
+def profile(texts: DataFrame) -> Profile:
+    """The profile of English from clearly English texts(hash, row, vocabulary, counts), which are stored; equal texts count once.
+
+    A corpus without clearly English texts has no unlikely words: frequent words alone decide then.
+    """
+    # Hashes alone are shuffled; as few of them recur, their texts' words mostly stay where they are.
+    again = stored(texts.groupBy("hash").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first"), "again")
+    once = texts.join(again, "hash", "left").where("first IS NULL OR row = first")
+    words = once.select(F.explode(F.arrays_zip("vocabulary", "counts")).alias("x")).groupBy(F.col("x.vocabulary").alias("word")).agg(F.sum("x.counts").alias("n"))
+    words = stored(words, "english")
 
     def split(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
@@ -103,14 +118,14 @@ def fit(documents: DataFrame, words_of: Callable[[str | None], Counter], *, samp
     found = words.mapInPandas(split, "t int, n double").groupBy("t").agg(F.sum("n").alias("n")).toPandas()  # at most TRIGRAMS rows
     counts = np.zeros(TRIGRAMS)
     counts[found["t"].to_numpy(int)] = found["n"].to_numpy(float)
-    profile = Profile(counts)
+    plain = Profile(counts)
 
     def rate(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pd.DataFrame({"x": [profile.likelihood(w) for w in pdf["word"]], "n": pdf["n"]})
+            yield pd.DataFrame({"x": [plain.likelihood(w) for w in pdf["word"]], "n": pdf["n"]})
 
     if not counts.any():
-        return profile
+        return plain
     # Each word counts as often as it occurs, so the level is read off a histogram of fixed size.
     bins = F.floor(F.col("x") * 100).cast("int").alias("bin")
     rated = words.mapInPandas(rate, "x double, n bigint").groupBy(bins).agg(F.sum("n").alias("n")).toPandas().sort_values("bin")  # hundredths of a logarithm: some hundreds of rows

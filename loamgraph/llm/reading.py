@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -52,8 +52,8 @@ def prose_words(text: str | None) -> Counter:
     return Counter(w.lower() for p in prose(text) for w in _WORD.findall(p))
 
 
-def measure(text: str | None, english: language.Profile) -> tuple[int, bool, list[float], list[int], list[int]]:
-    """(words of prose, mainly English, features without rarity, buckets of the words, their counts)."""
+def measure(text: str | None) -> tuple[int, bool, list[float], list[str], list[int]]:
+    """(words of prose, clearly English, features without rarity, different words, their counts)."""
     sentences = [s for p in prose(text) for s in _END.split(p)]
     split = [_WORD.findall(s) for s in sentences]
     split = [w for w in split if w]
@@ -82,10 +82,7 @@ def measure(text: str | None, english: language.Profile) -> tuple[int, bool, lis
         # connectives
         *(np.sqrt(counts[w] / n) for w in CONNECTIVES),
     ]
-    keys = Counter()
-    for w, c in counts.items():
-        keys[bucket(w)] += c
-    return n, english.english(counts), [float(x) for x in features], list(keys), list(keys.values())
+    return n, language.clear(counts), [float(x) for x in features], list(counts), list(counts.values())
 
 
 def rarity(buckets: np.ndarray, counts: np.ndarray, corpus: np.ndarray, total: float) -> list[float]:
@@ -122,65 +119,104 @@ def _crossed(z: np.ndarray, at: tuple[int, ...]) -> np.ndarray:
     return np.column_stack([z, *products]) if products else z
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, *, l2: float = 5.0, bands: int = len(BANDS), steps: int = 400, crossed: tuple[int, ...] = ()) -> OrdinalModel:
-    """Maximum penalised likelihood by L-BFGS; y holds 0 .. bands-1.  Cuts keep their order."""
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    scale = np.where(scale > 1e-9, scale, 1.0)
+class Graded:
+    """Graded documents(x, given) of a table: their features, and how many ratings put them into each band.
+
+    Only sums over them come to the driver, so they may be as many as the table holds.  Its length is the number of ratings.
+    """
+
+    #: Sums that come to the driver at once; those of more partitions are added up by as many tasks first.
+    SUMS = 16
+
+    def __init__(self, rows: DataFrame, ratings: int):
+        self.rows, self.ratings, self.parts = rows, ratings, rows.rdd.getNumPartitions()
+
+    def __len__(self) -> int:
+        return self.ratings
+
+    def total(self, f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        """The sum of f(x, given) over blocks of all rows."""
+
+        def block(it: Iterator[pd.DataFrame]) -> Iterator[np.ndarray]:
+            return (f(*(np.stack(pdf[c].to_list()).astype(float) for c in ("x", "given"))) for pdf in it if len(pdf))
+
+        def add(sums: Iterator[np.ndarray]) -> Iterator[pd.DataFrame]:
+            found = sum(sums, start=np.zeros(1))  # of the length of the first one
+            yield pd.DataFrame({"sums": [found.tobytes()] if len(found) > 1 else []})
+
+        def again(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            return add(np.frombuffer(b) for pdf in it for b in pdf["sums"])
+
+        sums = self.rows.mapInPandas(lambda it: add(block(it)), "sums binary")
+        if self.parts > self.SUMS:
+            sums = sums.repartition(self.SUMS).mapInPandas(again, "sums binary")
+        return np.sum([np.frombuffer(r.sums) for r in sums.collect()], axis=0)
+
+
+def _terms(x: np.ndarray, given: np.ndarray, crossed: tuple[int, ...], mean: np.ndarray, scale: np.ndarray, weights: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """What these rows add to the negative log-likelihood, to its gradient by weights and cuts, and to the expected information."""
     z = _crossed(np.clip((x - mean) / scale, -6, 6), crossed)
-    p, n = z.shape[1], len(y)
+    padded = np.concatenate([[-np.inf], cuts, [np.inf]])
+    upto = 1 / (1 + np.exp(-np.clip(padded - (z @ weights)[:, None], -40, 40)))
+    upto[:, 0], upto[:, -1] = 0.0, 1.0
+    prob = np.maximum(np.diff(upto), 1e-12)
+    slope = upto * (1 - upto)
+    up, lo = slope[:, 1:] / prob, slope[:, :-1] / prob  # by the band's upper and lower cut
+    by_eta = up - lo
+    expected = given.sum(axis=1, keepdims=True) * prob
+    gc = (given[:, 1:] * lo[:, 1:] - given[:, :-1] * up[:, :-1]).sum(axis=0)
+    ww = z.T @ (z * (expected * by_eta**2).sum(axis=1, keepdims=True))
+    wc = z.T @ ((expected * by_eta * lo)[:, 1:] - (expected * by_eta * up)[:, :-1])
+    cc = np.diag((expected * up**2)[:, :-1].sum(axis=0) + (expected * lo**2)[:, 1:].sum(axis=0))
+    beside = -(expected * up * lo)[:, 1:-1].sum(axis=0)
+    cc = cc + np.diag(beside, 1) + np.diag(beside, -1)
+    return np.concatenate([[-(given * np.log(prob)).sum()], z.T @ (given * by_eta).sum(axis=1), gc, np.block([[ww, wc], [wc.T, cc]]).ravel()])
+
+
+def fit_ordinal(x: np.ndarray | None, y: np.ndarray | Graded, *, l2: float = 5.0, bands: int = len(BANDS), steps: int = 400, crossed: tuple[int, ...] = ()) -> OrdinalModel:
+    """Maximum penalised likelihood by Fisher scoring; y holds 0 .. bands-1, or both features and bands (x is None then).  Cuts keep their order.
+
+    Rows enter by sums only.  A step takes one pass over them, and a fit about ten.
+    """
+    total = y.total if isinstance(y, Graded) else lambda f: f(x, np.eye(bands)[y])
+    n = len(y)
+    first = total(lambda x, given: np.concatenate([given.sum(axis=0), given.sum(axis=1) @ x]))
+    of_band, mean = first[:bands], first[bands:] / n
+    scale = np.sqrt(total(lambda x, given: given.sum(axis=1) @ (x - mean) ** 2) / n)
+    scale = np.where(scale > 1e-9, scale, 1.0)
+    p = len(mean) + len(crossed) * (len(crossed) + 1) // 2
 
     def cuts_of(v: np.ndarray) -> np.ndarray:  # first cut, then the logarithms of the gaps
         return np.cumsum(np.concatenate([v[p : p + 1], np.exp(np.clip(v[p + 1 :], -20, 5))]))
 
-    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        cuts, eta = cuts_of(v), z @ v[:p]
-        padded = np.concatenate([[-np.inf], cuts, [np.inf]])
-        up, lo = padded[y + 1] - eta, padded[y] - eta
-        su, sl = 1 / (1 + np.exp(-np.clip(up, -40, 40))), 1 / (1 + np.exp(-np.clip(lo, -40, 40)))
-        su, sl = np.where(np.isinf(up), 1.0, su), np.where(np.isinf(lo), 0.0, sl)
-        prob = np.maximum(su - sl, 1e-12)
-        du, dl = su * (1 - su) / prob, sl * (1 - sl) / prob
-        g = np.empty_like(v)
-        g[:p] = z.T @ (du - dl) + l2 * v[:p]
-        gc = np.array([-du[y == k].sum() + dl[y == k + 1].sum() for k in range(bands - 1)])
-        tail = np.cumsum(gc[::-1])[::-1]
-        g[p] = tail[0]
-        g[p + 1 :] = tail[1:] * np.exp(np.clip(v[p + 1 :], -20, 5))
-        return float(-np.log(prob).sum() + 0.5 * l2 * v[:p] @ v[:p]), g
-
-    share = np.clip(np.cumsum(np.bincount(y, minlength=bands))[:-1] / max(n, 1), 1e-3, 1 - 1e-3)
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        weights, cuts = v[:p], cuts_of(v)
+        got = total(lambda x, given: _terms(x, given, crossed, mean, scale, weights, cuts))
+        by = np.eye(len(v))  # weights and cuts by v
+        by[p:, p:] = np.tril(np.ones((bands - 1, bands - 1))) * np.concatenate([[1.0], np.exp(np.clip(v[p + 1 :], -20, 5))])
+        g, info = by.T @ got[1 : len(v) + 1], by.T @ got[len(v) + 1 :].reshape(len(v), len(v)) @ by
+        g[:p] += l2 * weights
+        info[np.diag_indices(p)] += l2
+        return float(got[0] + 0.5 * l2 * weights @ weights), g, info
+
+    share = np.clip(np.cumsum(of_band)[:-1] / max(n, 1), 1e-3, 1 - 1e-3)
     start = np.log(share / (1 - share))
     v = np.concatenate([np.zeros(p), start[:1], np.log(np.maximum(np.diff(start), 1e-3))])
-    f, g = loss(v)
-    memory: list[tuple[np.ndarray, np.ndarray]] = []
+    f, g, info = loss(v)
     for _ in range(steps):
-        q, alphas = g.copy(), []
-        for s, d in reversed(memory):
-            a = (s @ q) / (d @ s)
-            alphas.append(a)
-            q -= a * d
-        if memory:
-            s, d = memory[-1]
-            q *= (s @ d) / (d @ d)
-        else:
-            q /= max(1.0, float(np.linalg.norm(q)))
-        for (s, d), a in zip(memory, reversed(alphas)):
-            q += s * (a - (d @ q) / (d @ s))
-        step, slope = 1.0, g @ q
+        q = np.linalg.solve(info + 1e-6 * np.eye(len(v)), g)  # a band without ratings tells nothing of its cuts
+        slope = g @ q
+        if slope < 1e-9 * max(1.0, abs(f)):
+            break
+        step = 1.0
         while step > 1e-10:
-            f2, g2 = loss(v - step * q)
+            f2, g2, info2 = loss(v - step * q)
             if f2 <= f - 1e-4 * step * slope:
                 break
             step /= 2
         else:
             break
-        s, d = -step * q, g2 - g
-        if s @ d > 1e-10:
-            memory = [*memory[-9:], (s, d)]
-        done = f - f2 < 1e-7 * max(1.0, abs(f))
-        v, f, g = v + s, f2, g2
-        if done:
-            break
+        v, f, g, info = v - step * q, f2, g2, info2
     return OrdinalModel(crossed, mean, scale, v[:p].copy(), cuts_of(v))
 
 
@@ -188,61 +224,65 @@ class ReadingLevels:
     """Reading levels of documents(doc_id, text), calibrated to labels(doc_id, rater, band).
 
     Each rating within the bands counts as one observation of its document; null bands,
-    raters' repeated rows and unknown documents do not count.  The model is fitted on at most
-    ``most_ratings`` ratings, those whose hash is lowest, and the profile of English on at most
-    ``language_sample`` texts; all else covers all documents.  Without two different bands among the
+    raters' repeated rows and unknown documents do not count.  The model is fitted on all ratings, and
+    word counts and the profile of English cover all documents.  Without two different bands among the
     ratings there is no model and no level.  Null or empty texts have no prose and no level.  Rows with
     one doc_id are separate documents; a rating of it is one observation, of the row with the least
     features.  Columns ``keep`` of the documents are carried to the levels.
     """
 
-    def __init__(self, documents: DataFrame, labels: DataFrame, *, least_words: int = 40, most_ratings: int = 20_000, language_sample: int = 1000, l2: float = 5.0, keep: Sequence[str] = ()):
+    def __init__(self, documents: DataFrame, labels: DataFrame, *, least_words: int = 40, l2: float = 5.0, keep: Sequence[str] = ()):
         self.least_words, self.keep = least_words, tuple(keep)
         docs = pick(documents, "doc_id", "text", *self.keep)
-        english = docs.sparkSession.sparkContext.broadcast(language.fit(docs, prose_words, sample=language_sample))
+        context = docs.sparkSession.sparkContext
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
-                got = [measure(t, english.value) for t in pdf["text"]]
-                yield pdf.drop(columns="text").assign(**{c: [g[i] for g in got] for i, c in enumerate(("words", "english", "features", "buckets", "counts"))})
+                got = [measure(t) for t in pdf["text"]]
+                yield pdf.drop(columns="text").assign(**{c: [g[i] for g in got] for i, c in enumerate(("words", "clear", "features", "vocabulary", "counts"))})
 
         self._kept = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in self.keep)
-        schema = f"doc_id bigint{self._kept}, words int, english boolean, features array<float>, buckets array<int>, counts array<int>"
-        self.measured = stored(docs.mapInPandas(run, schema), "measured")
-        pairs = self.measured.select(F.explode(F.arrays_zip("buckets", "counts")).alias("x"))
-        found = pairs.groupBy(F.col("x.buckets").alias("b")).agg(F.sum("x.counts").alias("n")).toPandas()  # at most BUCKETS rows
+        schema = f"doc_id bigint{self._kept}, hash binary, row bigint, words int, clear boolean, features array<float>, vocabulary array<string>, counts array<int>"
+        self.measured = stored(language.marked(docs).mapInPandas(run, schema), "measured")
+        self.english = context.broadcast(language.profile(self.measured.where("clear").select("hash", "row", "vocabulary", "counts")))
+        pairs = self.measured.select(F.explode(F.arrays_zip("vocabulary", "counts")).alias("x"))
+        at = (F.crc32(F.encode("x.vocabulary", "utf-8")) % BUCKETS).cast("int").alias("b")  # as in `bucket`
+        found = pairs.groupBy(at).agg(F.sum("x.counts").alias("n")).toPandas()  # at most BUCKETS rows
         corpus = np.zeros(BUCKETS)
         corpus[found["b"].to_numpy(int)] = found["n"].to_numpy(float)
-        self.corpus = self.measured.sparkSession.sparkContext.broadcast(corpus)
+        self.corpus = context.broadcast(corpus)
         ratings = pick(labels, "doc_id", "rater", "band").where(F.col("band").isin(*BANDS) & F.col("doc_id").isNotNull()).distinct()
-        sample = ratings.orderBy(F.xxhash64("doc_id", "rater"), "doc_id", "rater", "band").limit(most_ratings)
-        # The sample is bounded, so it goes to the documents and not they to it.  The tasks compute the features; the driver gets one array of floats for each rating of the sample.
-        sample = stored(sample, "sample")
-        rated = self.measured.where("english").join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_semi")
-        each = self._scored(rated, "doc_id bigint, x array<float>", "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"))
-        graded = each.join(F.broadcast(sample), "doc_id").select("band", "x").toPandas()
+        # A row for each rated document, however many raters it has.
+        given = stored(ratings.groupBy("doc_id").agg(F.array(*(F.count_if(F.col("band") == b) for b in BANDS)).alias("given")), "given")
+        rated = self.measured.join(given.select("doc_id"), "doc_id", "left_semi")
+        each = self._scored(rated).groupBy("doc_id").agg(F.min("x").alias("x"))
+        graded = stored(each.join(given, "doc_id").select("x", "given"), "graded")
+        of_band = [n or 0 for n in graded.agg(*(F.sum(F.col("given")[i]) for i in range(len(BANDS)))).first()]
         self.model = None
-        if graded["band"].nunique() > 1:
-            x, y = np.stack(graded["x"].to_list()).astype(float), graded["band"].to_numpy(int) - BANDS[0]
-            del graded
-            plain = x.shape[1] - len(_RARITY_BINS) - 2
-            self.model = fit_ordinal(x, y, l2=l2, crossed=(*_CROSSED, *(plain + k for k in _CROSSED_RARITY)))
+        if sum(n > 0 for n in of_band) > 1:
+            plain = len(graded.first()["x"]) - len(_RARITY_BINS) - 2
+            self.model = fit_ordinal(None, Graded(graded, sum(of_band)), l2=l2, crossed=(*_CROSSED, *(plain + k for k in _CROSSED_RARITY)))
 
-    def _scored(self, rows: DataFrame, schema: str, *keep: str) -> DataFrame:
-        """Columns ``keep`` and x, the features with rarity."""
-        corpus, vectors = self.corpus, self._vectors
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        """(doc_id, x) of the rows that are mainly English; x are the features with rarity."""
+        corpus, english, vectors, mainly = self.corpus, self.english, self._vectors, self._mainly
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
+                pdf = pdf[mainly(pdf, english.value)]
                 if len(pdf):
-                    yield pdf[list(keep)].assign(x=list(vectors(pdf, corpus.value).astype(np.float32)))
+                    yield pdf[["doc_id"]].assign(x=list(vectors(pdf, corpus.value).astype(np.float32)))
+
+        return rows.select("doc_id", "features", "vocabulary", "counts").mapInPandas(run, "doc_id bigint, x array<float>")
 
-        return rows.select(*keep, "features", "buckets", "counts").mapInPandas(run, schema)
+    @staticmethod
+    def _mainly(pdf: pd.DataFrame, english: language.Profile) -> np.ndarray:
+        return np.array([english.english(dict(zip(v, c))) for v, c in zip(pdf["vocabulary"], pdf["counts"])], bool)
 
     @staticmethod
     def _vectors(pdf: pd.DataFrame, corpus: np.ndarray) -> np.ndarray:
         total = corpus.sum()
-        return np.array([[*f, *rarity(np.asarray(b), np.asarray(c, float), corpus, total)] for f, b, c in zip(pdf["features"], pdf["buckets"], pdf["counts"])])
+        return np.array([[*f, *rarity(np.array([bucket(w) for w in v]), np.asarray(c, float), corpus, total)] for f, v, c in zip(pdf["features"], pdf["vocabulary"], pdf["counts"])])
 
     def levels(self) -> DataFrame:
         """(doc_id, words, band, p_top, score, reason) and the columns kept, one row for every document.
@@ -250,22 +290,20 @@ class ReadingLevels:
         ``band`` is the likeliest, ``p_top`` the chance of the highest, ``score`` the mean band.  They are null
         where ``reason`` is not: 'no prose', 'not English', 'short' (fewer words of prose than asked for) or 'no model'.
         """
-        model, corpus, vectors, keep = self.model, self.corpus, self._vectors, self.keep
-        schema = f"doc_id bigint, words int, band int, p_top double, score double{self._kept}"
-        reason = F.when(F.col("words") == 0, "no prose").when(~F.col("english"), "not English").when(F.col("words") < self.least_words, "short")
-        if model is None:
-            reason = F.coalesce(reason, F.lit("no model"))
-        rows = self.measured.withColumn("reason", reason)
-        columns = ("doc_id", "words", "band", "p_top", "score", *(f"`{c}`" for c in keep), "reason")
-        none = rows.where("reason IS NOT NULL").selectExpr("doc_id", "words", "CAST(NULL AS INT) AS band", "CAST(NULL AS DOUBLE) AS p_top", "CAST(NULL AS DOUBLE) AS score", *columns[5:])
+        model, corpus, english, vectors, mainly, keep, least = self.model, self.corpus, self.english, self._vectors, self._mainly, self.keep, self.least_words
+        schema = f"doc_id bigint, words int, band int, p_top double, score double{self._kept}, reason string"
 
         def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in it:
-                if len(pdf):
-                    p = model.probabilities(vectors(pdf, corpus.value))
-                    yield pd.DataFrame({"doc_id": pdf["doc_id"], "words": pdf["words"], "band": p.argmax(axis=1) + BANDS[0], "p_top": p[:, -1], "score": p @ np.array(BANDS, float), **{c: pdf[c] for c in keep}})
-
-        if model is None:
-            return none
-        levels = rows.where("reason IS NULL").drop("reason", "english").mapInPandas(run, schema).withColumn("reason", F.lit(None).cast("string"))
-        return levels.select(*map(F.expr, columns)).unionByName(none)
+                words = pdf["words"].to_numpy()
+                reason = np.select([words == 0, ~mainly(pdf, english.value), words < least], ["no prose", "not English", "short"], "" if model else "no model").astype(object)
+                has = reason == ""
+                reason[has] = None
+                band, p_top, score = pd.array([None] * len(pdf), "Int32"), pd.array([None] * len(pdf), "Float64"), pd.array([None] * len(pdf), "Float64")
+                if has.any():
+                    p = model.probabilities(vectors(pdf[has], corpus.value))
+                    band[has], p_top[has], score[has] = p.argmax(axis=1) + BANDS[0], p[:, -1], p @ np.array(BANDS, float)
+                columns = {"doc_id": pdf["doc_id"].array, "words": words, "band": band, "p_top": p_top, "score": score, **{c: pdf[c].array for c in keep}, "reason": reason}
+                yield pd.DataFrame(columns)
+
+        return self.measured.select("doc_id", "words", *(F.col(f"`{c}`") for c in keep), "features", "vocabulary", "counts").mapInPandas(run, schema)

@@ -106,3 +106,38 @@ def test_repeated_documents_do_not_weigh_more(spark):
     finally:
         R.fit_ordinal = fit
     assert len(seen) == 2 and seen[0] == seen[1]
+
+
+def test_every_rating_counts(spark):
+    """More ratings than any sample would hold, in blocks whose sums come to the driver in two steps, give the model of all ratings."""
+    texts = ["The cat sat on the mat and it was glad to be there. " * 3, "Although the committee deliberated, the proposals that remained were, notwithstanding every objection, adopted. " * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.range(30_000).selectExpr("id % 2 AS doc_id", "CAST(id AS STRING) AS rater", "CAST(1 + id % 2 + IF(id % 3 = 0, 1, 0) AS INT) AS band")
+    seen = []
+    fit, R.fit_ordinal = R.fit_ordinal, lambda x, y, **kw: seen.append(len(y)) or fit(x, y, **kw)
+    try:
+        R.ReadingLevels(docs, labels)
+    finally:
+        R.fit_ordinal = fit
+    assert seen == [30_000]
+    rng = np.random.default_rng(7)
+    x, given = rng.normal(size=(900, 5)).astype(np.float32), rng.integers(0, 3, size=(900, 4))
+    x[:, 0] += given @ [0, 1, 2, 3]
+    rows = spark.createDataFrame([(a.tolist(), g.tolist()) for a, g in zip(x, given)], "x array<float>, given array<bigint>").repartition(40)
+    spread = R.Graded(rows, int(given.sum()))
+    assert spread.parts > spread.SUMS
+    whole = R.fit_ordinal(np.repeat(x.astype(float), given.sum(axis=1), axis=0), np.concatenate([np.repeat(np.arange(4), g) for g in given]), crossed=(0, 1))
+    got = R.fit_ordinal(None, spread, crossed=(0, 1))
+    assert np.allclose(got.weights, whole.weights, atol=1e-5) and np.allclose(got.cuts, whole.cuts, atol=1e-5) and np.allclose(got.mean, whole.mean)
+
+
+def test_profile_of_english_from_every_text(spark):
+    """All different texts, of more than any sample would hold, and none twice."""
+    letters = "abcdefghijklmnopqrst"
+    texts = [f"The {letters[i // 400]}{letters[i // 20 % 20]}{letters[i % 20]}x is one of the things that we see here." for i in range(3000)]
+    docs = spark.createDataFrame([(t,) for t in [*texts, *texts[:700], None, "Der Hund und die Katze."]], "text string").repartition(3)
+    counts = np.zeros(language.TRIGRAMS)
+    for w, n in sum(map(R.prose_words, texts), Counter()).items():
+        np.add.at(counts, language.trigrams(w), n)
+    profile = language.fit(docs, R.prose_words)
+    assert np.allclose(profile.log, language.Profile(counts).log, atol=1e-12) and np.isfinite(profile.least)
